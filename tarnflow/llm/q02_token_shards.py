@@ -14,7 +14,8 @@ TOKENIZER = "byte_bpe_50k.json"
 def shard_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     write_shards(docs, path, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return with_global_start(checksums(read_shards(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    shards = read_shards(spark, path)
+    return with_global_start(checksums(shards), shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +32,51 @@ from tarnflow.llm._scratch import bound_batches
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 #: Entries of each worker's cache; beyond it the cache starts anew, which costs time only.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_500_000
 
 SHARD_SCHEMA = "doc_id bigint, shard int, rel_start bigint, n_tokens bigint, ids array<int>"
 
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
 #: Characters for which every engine agrees on letter, digit and space classes.
-_PLAIN = re.compile(r"[\n\x20-\x7e¡-±´-¸»¿-ɏ]*\Z")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸»¿-ɏ]*\Z")
+#: Bytes of text whose chunks are hashed together.
+BLOCK_BYTES = 2 << 20
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE = 0x5851F42D4C957F2D
 
 
-class PieceEncoder:
-    """Encodes whole texts through a cache of pieces.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.ones(1, np.uint64)
+    while len(p) < n:
+        p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
+    return p
+
 
-    Byte-level BPE never merges across a pre-token, and a single blank between
-    two visible characters always starts one, so a text's ids are the ids of
-    its blank-separated pieces in order. Pieces repeat; each distinct one goes
-    through the tokenizer once a worker.
+def odd_spaces(b: np.ndarray) -> np.ndarray:
+    """Offsets of white space beyond ASCII's, and of controls that only some engines take for it."""
+    at = np.flatnonzero(((b >= 0x1C) & (b <= 0x1F)) | (b == 0xC2) | ((b >= 0xE1) & (b <= 0xE3)))
+    x = b[at]
+    y, z = (b[np.minimum(at + k, len(b) - 1)] for k in (1, 2))
+    general = (y == 0x80) & (((z >= 0x80) & (z <= 0x8A)) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F)
+    odd = (x < 0x20) | (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) | (x == 0xE2) & general | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    return at[odd]
+
+
+class PieceEncoder:
+    """Encodes whole texts through a cache of chunks.
+
+    A pre-token never has white space after a visible character, so a text's
+    ids are the ids of its chunks (white space and the visible characters after
+    it) in order. The chunks of a block of texts are found and hashed on the
+    bytes at once; each distinct one is looked up, or goes through the
+    tokenizer, once a block. Chunks are told apart by 64-bit hashes. A full
+    cache takes nothing new and starts anew when it stops matching the texts;
+    both cost time only. Texts with rare white space go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_json: str, pattern: str, capacity: int = CACHE_ENTRIES):
@@ -58,69 +87,104 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(pattern)
         self.capacity = capacity
-        self.pieces: dict[str, bytes | bool] = {}
-        self.whole: dict[str, bytes] = {}
+        self.value = _mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
+        self.up = self.down = np.ones(1, np.uint64)
         self.tokens: dict[str, bytes] = {}
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if max(len(self.pieces), len(self.whole), len(self.tokens)) > self.capacity:
-            self.pieces.clear()
-            self.whole.clear()
-            self.tokens.clear()
-        rows: list[tuple[str, list[str]]] = []
-        found: list[list | None] = []
-        missing: set[str] = set()
-        heads: set[str] = set()
-        get = self.pieces.get
-        for text in texts:
-            head, *rest = text.split(" ")
-            values = list(map(get, rest))
-            if None in values:
-                missing.update(p for p, v in zip(rest, values, strict=True) if v is None)
-                values = None
-            if head not in self.whole:
-                heads.add(head)
-            rows.append((head, rest))
-            found.append(values)
-            del text
-        safe = [p for p in missing if p and not p[0].isspace() and not p[-1].isspace()]
-        self.pieces.update(dict.fromkeys(missing.difference(safe), False))
-        self.pieces.update(zip(safe, self._ids([" " + p for p in safe]), strict=True))
-        self.whole.update(zip(heads, self._ids(list(heads)), strict=True))
-        out = []
-        for (head, rest), values in zip(rows, found, strict=True):
-            values = list(map(get, rest)) if values is None else values
-            if False in values or (rest and (not head or head[-1].isspace())):
-                out.append(self._spaced(" ".join([head, *rest])))
-            else:
-                out.append(self.whole[head] + b"".join(values))
-        return out
-
-    def _spaced(self, text: str) -> bytes:
-        """A text with runs of blanks or blanks beside other white space."""
-        head, *rest = _BREAK.split(text)
-        parts = [head, *(" " + p for p in rest)]
-        new = list({p for p in parts if p not in self.whole})
-        self.whole.update(zip(new, self._ids(new), strict=True))
-        return b"".join(self.whole[p] for p in parts)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.filled = self.used = 0
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the count of each; the texts are UTF-8 at ``offsets``."""
+        flat, counts, a = [], [], 0
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
+            ids, n = self._block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+            flat.append(ids)
+            counts.append(n)
+            a = b
+        return np.concatenate([*flat, np.empty(0, np.int32)]), np.concatenate([*counts, np.empty(0, np.int64)])
+
+    def _block(self, offsets: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts, size = len(offsets) - 1, len(b)
+        if not size:
+            return np.empty(0, np.int32), np.zeros(texts, np.int64)
+        if size > len(self.up):
+            self.up, self.down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+        space = (b == 32) | ((b >= 9) & (b <= 13))
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(self.value[b] * self.up[:size], out=sums[1:])
+        key = _mixed((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64) * _M2)
+        distinct, at, where = np.unique(key, return_index=True, return_inverse=True)
+        slot = self._slots(distinct, first[at], last[at], b)
+        n = self.length[slot][where].astype(np.int64)
+        ends = np.cumsum(n)
+        flat = self.pool[np.repeat(self.start[slot][where] - ends + n, n) + np.arange(ends[-1])]
+        before = np.append(0, ends)[np.searchsorted(first, offsets)]
+        counts = np.diff(before)
+        self._forget()
+        odd = np.unique(np.searchsorted(offsets, odd_spaces(b), "right") - 1)
+        if len(odd):
+            raw = b.tobytes()
+            whole = self.tokenizer.encode_batch_fast([raw[offsets[t] : offsets[t + 1]].decode() for t in odd], add_special_tokens=False)
+            parts = np.split(flat, before[1:-1])
+            for t, e in zip(odd.tolist(), whole, strict=True):
+                parts[t] = np.array(e.ids, np.int32)
+                counts[t] = len(parts[t])
+            flat = np.concatenate(parts)
+        return flat, counts
+
+    def _slots(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, b: np.ndarray) -> np.ndarray:
+        known = list(map(self.slots.get, keys.tolist()))
+        missing = [i for i, s in enumerate(known) if s is None]
+        self.missed = len(missing) / max(1, len(known))
+        if missing:
+            raw = b.tobytes()
+            ids = self._ids([raw[s:e].decode() for s, e in zip(first[missing].tolist(), last[missing].tolist(), strict=True)])
+            n = np.array(list(map(len, ids))) // 4
+            while self.used + len(ids) > len(self.start):
+                self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
+            while self.filled + n.sum() > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros_like(self.pool))
+            new = slice(self.used, self.used + len(ids))
+            self.start[new], self.length[new] = self.filled + np.cumsum(n) - n, n
+            self.pool[self.filled : self.filled + n.sum()] = np.frombuffer(b"".join(ids), np.int32)
+            keep = self.used < self.capacity
+            for s, i in enumerate(missing, self.used):
+                known[i] = s
+            if keep:
+                self.slots.update(zip(keys[missing].tolist(), range(new.start, new.stop), strict=True))
+                self.used, self.filled = new.stop, int(self.filled + n.sum())
+        return np.array(known, np.int64)
+
+    def _forget(self) -> None:
+        if self.used >= self.capacity and self.missed > 0.6:
+            self._reset()
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        split = [self.words.findall(p) if _PLAIN.match(p) else None for p in parts]
-        new = list({w for ws in split if ws for w in ws if w not in self.tokens})
+        find, plain, known = self.words.findall, _PLAIN.match, self.tokens
+        split = [find(p) if plain(p) else None for p in parts]
+        if len(known) > self.capacity // 2:
+            known.clear()
+        new = list({w for ws in split if ws for w in ws}.difference(known))
         for i in range(0, len(new), 20_000):
             block = new[i : i + 20_000]
             e = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(block)))
-            raw = ids.tobytes()
-            begin = 0
-            for w, end in zip(block, (ends * 4).tolist(), strict=True):
-                self.tokens[w] = raw[begin:end]
-                begin = end
-        odd = [p for p, ws in zip(parts, split, strict=True) if ws is None]
-        direct = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
-        return [np.array(next(direct).ids, dtype="<u4").tobytes() if ws is None else b"".join(map(self.tokens.__getitem__, ws)) for ws in split]
+            ends = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(block)) * 4).tolist()
+            raw = np.array(e.ids, np.int32).tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(block, [0, *ends], ends, strict=False))
+        direct = iter(self.tokenizer.encode_batch_fast([p for p, ws in zip(parts, split, strict=True) if ws is None], add_special_tokens=False))
+        get = known.__getitem__
+        return [np.array(next(direct).ids, np.int32).tobytes() if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
 def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0) -> DataFrame:
@@ -132,17 +196,24 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, shard = None, 0, TaskContext.get().partitionId()
-        tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             encoder = encoder or PieceEncoder(model.value, pattern)
-            coded = encoder.encode(t or "" for t in batch.column(1).to_pylist())
-            n = np.array([len(c) // 4 + 1 for c in coded], dtype=np.int64)
-            ends = start + np.cumsum(n)
-            values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(tail.join([*coded, b""]))])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(ends - n), pa.array(n), ids], ["doc_id", "shard", "rel_start", "n_tokens", "ids"])
-            start = int(ends[-1]) if len(n) else start
+            text = batch.column(1).cast(pa.large_string())
+            text = text.fill_null("") if text.null_count else text
+            _, where, data = text.buffers()
+            offsets = np.frombuffer(where, np.int64)[text.offset : text.offset + len(text) + 1]
+            flat, counts = encoder.encode(offsets, np.frombuffer(data or b"", np.uint8))
+            n = counts + 1
+            ends = np.cumsum(n)
+            ids = np.full(ends[-1], end_id, np.int32)
+            mask = np.ones(ends[-1], bool)
+            mask[ends - 1] = False
+            ids[mask] = flat
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), lists], ["doc_id", "shard", "rel_start", "n_tokens", "ids"])
+            start += int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
@@ -168,13 +239,13 @@ def read_shards(spark: SparkSession, path: str, wanted: Column | None = None) ->
     return df if wanted is None else df.where(wanted)
 
 
-def with_global_start(shards: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before this one."""
+def with_global_start(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Adds ``start`` to ``rows`` of ``shards``: the ids of all documents before each."""
     totals = shards.groupBy("shard").agg(F.max(F.col("rel_start") + F.col("n_tokens")).alias("total"))
     # One row a shard: the ordered sum runs in one task over as many rows as there are files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    return shards.join(offsets, "shard").withColumn("start", F.col("offset") + F.col("rel_start"))
+    return rows.join(offsets, "shard").withColumn("start", F.col("offset") + F.col("rel_start"))
 
 
 def checksums(shards: DataFrame) -> DataFrame:
