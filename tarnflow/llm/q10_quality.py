@@ -1,0 +1,22 @@
+"""Registered query of the quality scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnflow.llm._scratch import load
+from tarnflow.llm._training import is_held_out
+from tarnflow.llm.quality import scores, train
+
+THRESHOLD = 0.7
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = train(docs, load(spark, sf_dir, "labels"))
+    return scores(docs, model).select("doc_id", is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {"op10_quality": op10_quality}
+ORACLES: dict[str, str] = {}
