@@ -11,11 +11,11 @@
   member's to all others. Candidates are confirmed on the full sets, and
   confirmed links join components. In buckets that still span several
   components, members outside the largest one become hubs in turn (a few, then
-  four times as many), compared with members of other components only, until
+  eight times as many), compared with members of other components only, until
   all of them have been. Pairs of one component need no comparison, so a bucket
   loses no link, while a group of near copies costs one star and not all pairs.
-* *Components.* Links contract by minimum-label hooking over the link table
-  in the shared folder; nothing is gathered on the driver.
+* *Components.* Links contract to least neighbours, round by round, in tables
+  of the shared folder; nothing is gathered on the driver.
 
 Defined results: null or wordless text has an empty set and is linked with
 nothing; rows that share an id count as one document for their component, and
@@ -25,6 +25,7 @@ each row is returned; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from tarnflow.llm._scratch import bound_batches, materialize, release
 BINS, ROWS = 384, 6
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 1_000_000
-#: Hubs of a bucket in its second turn; four times as many in each later one.
-HUBS = 8
+#: Hubs of a bucket in its second turn are 8 * HUBS; eight times as many in each later one.
+HUBS = 4
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 S29, S32, S31 = np.uint64(29), np.uint64(32), np.uint64(31)
@@ -192,68 +193,80 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
-    """node, label: the least node reachable over ``links`` (a, b), by hooking and shortcutting.
+def least_neighbour(links: DataFrame) -> DataFrame:
+    """u, low: the least of each node and its neighbours, where that is not the node itself."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("low")).where("low < u")
 
-    Each round gives a node the least label of its neighbours and then that
-    label's own label, so that chains shorten by half; labels live in the
-    shared folder between rounds.
+
+def mapped(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    """``df`` with ``column`` moved to its parent, where it has one."""
+    moved = df.join(parents.select(F.col("u").alias(column), "low"), column, "left")
+    return moved.withColumn(column, F.coalesce("low", column)).drop("low").select(*df.columns)
+
+
+def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """node, label for the nodes of ``links`` (a, b): the least node reachable.
+
+    Every round moves each node to its least neighbour and contracts the links;
+    stars vanish in one or two rounds and chains halve. The moves of all rounds,
+    kept in the shared folder, are then applied in turn.
     """
-    both, both_path = materialize(spark, links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels, path = materialize(spark, nodes.select("node", F.col("node").alias("label")), "labels")
+    first, first_path = materialize(spark, links.distinct(), "links")
+    rest, paths, moves = first, [], []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        # a root follows the least label that any of its members has seen
-        roots = hooked.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("lower"))
-        moved = hooked.join(roots, "node", "left").select("node", "label", F.least("low", F.coalesce("lower", "low")).alias("low"))
-        step, step_path = materialize(spark, moved, "labels")
-        parents = step.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        short = step.join(parents, "low").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("changed"))
-        out, out_path = materialize(spark, short, "labels")
-        changed = out.where("changed").limit(1).count()
-        release(spark, path, step_path)
-        labels, path = out.select("node", "label"), out_path
-        if not changed:
-            release(spark, both_path)
-            return labels, path
-
-
-def star_links(spark: SparkSession, buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """node, label of all classes that some bucket holds, linked through confirmed star edges."""
-    nodes, nodes_path = materialize(spark, buckets.select("node").distinct(), "nodes")
-    # hub: the member has been compared with its whole bucket
-    open_, open_path = materialize(spark, buckets.select("key", "node", "n", F.col("node").alias("label"), F.lit(False).alias("hub")), "buckets")
-    links, link_paths, labels_path, turn = None, [], None, 0
+        parents, path = materialize(spark, least_neighbour(rest), "moves")
+        if not parents.limit(1).count():
+            break
+        moves.append(parents)
+        rest, path = materialize(spark, mapped(mapped(rest, "a", parents), "b", parents).where("a <> b").distinct(), "links")
+        paths.append(path)
+    nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    labels = nodes.withColumn("label", F.col("node"))
+    for parents in moves:
+        labels = mapped(labels, "label", parents)
+    out, _ = materialize(spark, labels, "labels")
+    release(spark, first_path, *paths)
+    return out
+
+
+def star_links(spark: SparkSession, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links that join everything in ``buckets`` (key, node, n) that links join."""
+    size = F.struct("node", "n")
+    hubs = buckets.groupBy("key").agg(F.min(size).alias("hub"))
+    star = buckets.join(hubs, "key").where("node <> hub.node").where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    links, links_path = materialize(spark, confirm(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "star-links")
+    found = [links]
+    open_ = buckets.join(hubs.select("key", F.col("hub.node").alias("first")), "key").select("key", "node", "n", F.col("node").alias("label"), (F.col("node") == F.col("first")).alias("hub"))
+    open_path, turn = None, 1
     while True:
-        # A bucket's state is a count for each of its components, so that no bucket meets in one task.
-        of_label = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum((~F.col("hub")).cast("int")).alias("left"), F.min(F.when(~F.col("hub"), F.col("node"))).alias("least"))
-        state = of_label.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.min("least").alias("first"), F.sum("left").alias("left"))
-        members = open_.join(state, "key")
-        if turn == 0:
-            chosen = F.col("node") == F.col("first")
-        else:
-            share = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 20)) * F.col("left") < (HUBS << 20) * (4.0**turn)
-            chosen = ~F.col("hub") & (F.col("label") != F.col("main")) & share
-        hubs = members.where(chosen).select("key", F.col("node").alias("hub_node"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
+        # one contraction is enough here: labels that are still apart cost comparisons, never a link
+        step, step_path = materialize(spark, mapped(open_, "label", labelled_moves(spark, open_, links)), "buckets")
+        # A bucket's state is a count for each label, so that no bucket meets in one task. It is open
+        # while some member outside its largest component has not been a hub.
+        of_label = step.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum((~F.col("hub")).cast("int")).alias("left"))
+        state = of_label.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("left") - F.max_by("left", F.struct("m", "label"))).alias("left")).where("left > 0")
+        share = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 20)) * F.col("left") < (HUBS << 20) * (8.0**turn)
+        chosen = ~F.col("hub") & (F.col("label") != F.col("main")) & share
+        more, more_path = materialize(spark, step.join(state, "key").select("key", "node", "n", "label", (F.col("hub") | chosen).alias("hub"), chosen.alias("now")), "buckets")
+        release(spark, step_path, *([open_path] if open_path else []))
+        if not more.limit(1).count():
+            release(spark, more_path)
+            return reduce(DataFrame.unionByName, found)
+        now = more.where("now").select("key", F.col("node").alias("hub_node"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
         fits = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = open_.join(hubs, "key").where(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
-        found, found_path = materialize(spark, confirm(pairs, sets, percent), "star-links")
-        link_paths.append(found_path)
-        links = found if links is None else links.unionByName(found)
-        previous = labels_path
-        labels, labels_path = components(spark, nodes, links)
-        marked = members.select("key", "node", "n", (F.col("hub") | chosen).alias("hub")).join(labels, "node")
-        step, step_path = materialize(spark, marked.select("key", "node", "n", "label", "hub"), "buckets")
-        # open: some member outside the bucket's largest component has not been a hub
-        rest = step.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum((~F.col("hub")).cast("int")).alias("left"))
-        live = rest.groupBy("key").agg((F.sum("left") - F.max_by("left", F.struct("m", "label"))).alias("left")).where("left > 0").select("key")
-        more, more_path = materialize(spark, step.join(live, "key", "left_semi"), "buckets")
-        release(spark, open_path, step_path, *([previous] if previous else []))
-        open_, open_path, turn = more, more_path, turn + 1
-        if not open_.limit(1).count():
-            release(spark, open_path, nodes_path, *link_paths)
-            return labels, labels_path
+        pairs = more.join(now, "key").where(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+        links, _ = materialize(spark, confirm(pairs, sets, percent), "star-links")
+        found.append(links)
+        open_, open_path, turn = more.drop("now"), more_path, turn + 1
+
+
+def labelled_moves(spark: SparkSession, entries: DataFrame, links: DataFrame) -> DataFrame:
+    """u, low: where the labels at the ends of ``links`` move."""
+    names = entries.select("node", "label").distinct()
+    ends = links.join(names.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    moves, _ = materialize(spark, least_neighbour(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))), "moves")
+    return moves
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -269,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     release(spark, entries_path)
     nodes = shared.select("node").distinct()
     sets, sets_path = materialize(spark, candidate_sets(docs, nodes, width), "sets")
-    labels, _ = star_links(spark, shared, sets, percent)
+    labels = components(spark, star_links(spark, shared, sets, percent))
     release(spark, sets_path, shared_path)
     of_set = names.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))
     return rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
