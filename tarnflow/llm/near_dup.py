@@ -7,8 +7,8 @@
   (bin, attempt) names (optimal densification), the same for all documents.
 * *Bands.* ``ROWS`` signature values make a band. Two classes at the threshold
   share some band with a probability of 1 - (1 - 0.8**6)**64 > 1 - 1e-8.
-* *Stars.* Within a bucket only hubs' edges are candidates: first the least
-  member's to all others. Candidates are confirmed on the full sets, and
+* *Stars.* Within a bucket only hubs' edges are candidates: first those of the
+  member that shares most buckets with others, then of the next best ones. Candidates are confirmed on the full sets, and
   confirmed links join components. In buckets that still span several
   components, members outside the largest one become hubs in turn (a few, then
   eight times as many), compared with members of other components only, until
@@ -38,7 +38,8 @@ from tarnflow.llm._scratch import bound_batches, materialize, release
 BINS, ROWS = 384, 6
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 1_000_000
-#: Hubs of a bucket in its second turn are 8 * HUBS; eight times as many in each later one.
+#: Hubs of a bucket in its second turn; in later turns HUBS, and eight times as many in each.
+SECOND_HUBS = 16
 HUBS = 4
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,13 +101,15 @@ def signature(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
     filled = np.zeros(BINS, bool)
     filled[bins.astype(np.int64)] = True
     empty = np.flatnonzero(~filled)
-    if len(empty):
-        hit = filled[order[empty]]
-        first = hit.argmax(axis=1)
-        source = order[empty, first]
-        lost = ~hit[np.arange(len(empty)), first]
-        source[lost] = np.flatnonzero(filled)[0]
-        top[empty] = top[source]
+    for begin in range(0, order.shape[1], 8):
+        if not len(empty):
+            break
+        tries = order[empty, begin : begin + 8]
+        hit = filled[tries]
+        done = hit.any(axis=1)
+        top[empty[done]] = top[tries[done, hit[done].argmax(axis=1)]]
+        empty = empty[~done]
+    top[empty] = top[filled].min() if len(empty) else 0
     return top
 
 
@@ -232,13 +235,17 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def star_links(spark: SparkSession, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: confirmed links that join everything in ``buckets`` (key, node, n) that links join."""
-    size = F.struct("node", "n")
-    hubs = buckets.groupBy("key").agg(F.min(size).alias("hub"))
+    # the member that meets most others is the likeliest middle of a group of near copies
+    met = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("rank"))
+    buckets, ranked_path = materialize(spark, buckets.join(met, "node"), "ranked-keys")
+    best = F.max(F.struct("rank", F.negative("node").alias("other"), "node", "n"))
+    hubs = buckets.groupBy("key").agg(best.alias("hub"))
     star = buckets.join(hubs, "key").where("node <> hub.node").where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    links, links_path = materialize(spark, confirm(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "star-links")
+    ends = star.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+    links, _ = materialize(spark, confirm(ends, sets, percent), "star-links")
     found = [links]
-    open_ = buckets.join(hubs.select("key", F.col("hub.node").alias("first")), "key").select("key", "node", "n", F.col("node").alias("label"), (F.col("node") == F.col("first")).alias("hub"))
-    open_path, turn = None, 1
+    open_ = buckets.join(hubs.select("key", F.col("hub.node").alias("first")), "key").select("key", "node", "n", "rank", F.col("node").alias("label"), (F.col("node") == F.col("first")).alias("hub"))
+    open_path, turn = ranked_path, 1
     while True:
         # one contraction is enough here: labels that are still apart cost comparisons, never a link
         step, step_path = materialize(spark, mapped(open_, "label", labelled_moves(spark, open_, links)), "buckets")
@@ -246,9 +253,16 @@ def star_links(spark: SparkSession, buckets: DataFrame, sets: DataFrame, percent
         # while some member outside its largest component has not been a hub.
         of_label = step.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum((~F.col("hub")).cast("int")).alias("left"))
         state = of_label.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("left") - F.max_by("left", F.struct("m", "label"))).alias("left")).where("left > 0")
-        share = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 20)) * F.col("left") < (HUBS << 20) * (8.0**turn)
-        chosen = ~F.col("hub") & (F.col("label") != F.col("main")) & share
-        more, more_path = materialize(spark, step.join(state, "key").select("key", "node", "n", "label", (F.col("hub") | chosen).alias("hub"), chosen.alias("now")), "buckets")
+        live = step.join(state, "key")
+        if turn == 1:  # the next best members, each of a random part of the bucket, meet what the first did not reach
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SECOND_HUBS))
+            tops = live.groupBy("key").agg(*(F.max(F.when(part == k, F.struct("rank", "node"))).alias(f"h{k}") for k in range(SECOND_HUBS)))
+            names = tops.select("key", F.transform(F.array(*(f"h{k}" for k in range(SECOND_HUBS))), lambda h: h["node"]).alias("names"))
+            live, chosen = live.join(names, "key"), ~F.col("hub") & F.coalesce(F.array_contains("names", F.col("node")), F.lit(False))
+        else:
+            share = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 20)) * F.col("left") < (HUBS << 20) * (8.0 ** (turn - 1))
+            chosen = ~F.col("hub") & (F.col("label") != F.col("main")) & share
+        more, more_path = materialize(spark, live.select("key", "node", "n", "rank", "label", (F.col("hub") | chosen).alias("hub"), chosen.alias("now")), "buckets")
         release(spark, step_path, *([open_path] if open_path else []))
         if not more.limit(1).count():
             release(spark, more_path)
