@@ -33,7 +33,7 @@ from tarnflow.llm._training import labelled
 TRAIN_ROWS = 20_000
 FEATURE_BITS = 22
 #: A feature enters if its two shares differ by this many standard errors, on this many rows.
-LEAST_Z, LEAST_ROWS, MOST_FEATURES = 5.0, 6, 2000
+LEAST_Z, LEAST_ROWS, MOST_FEATURES = 5.0, 6, 600
 PREFIXES = (4, 5, 6, 7)
 CACHE_WORDS = 300_000
 
@@ -186,18 +186,26 @@ def features(word: str) -> list[int]:
 
 def fit(presence: list[np.ndarray], labels: np.ndarray, n: int, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge logistic regression on presence features."""
-    x = np.zeros((len(labels), n + 1), np.float32)
-    x[:, n] = 1
-    for row, at in zip(x, presence, strict=True):
-        row[at] = 1
     w = np.zeros(n + 1)
     penalty = np.full(n + 1, ridge)
     penalty[n] = 1e-6
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(labels), 1000):
+            part = presence[i : i + 1000]
+            x = np.zeros((len(part), n + 1))
+            x[:, n] = 1
+            for row, at in zip(x, part, strict=True):
+                row[at] = 1
+            yield x, labels[i : i + 1000]
+
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (labels - p) - penalty * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curvature.astype(float), gradient.astype(float))
+        gradient, curvature = -penalty * w, np.diag(penalty)
+        for x, y in blocks():
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (y - p)
+            curvature += (x * (p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(curvature, gradient)
         w += step
         if np.abs(step).max() < 1e-6:
             break
