@@ -34,7 +34,7 @@ COLUMNS = {
     "ca_bank": f"concat({digits(f'{K} * 3', 5)}, '-', {digits(K, 3)}, '-', {digits(f'{K} * 7919', 7)})",
     "secret": f"concat('value-', {text(K)})",
     "nick": f"CASE WHEN {K} % 4 = 0 THEN NULL ELSE concat('n', {text(f'{K} % 8')}) END",
-    "score": f"CASE WHEN {K} % 6 = 0 THEN NULL ELSE {K} % 100 END",
+    "score": f"CASE WHEN {K} % 6 = 0 THEN NULL ELSE CAST({K} % 100 AS DOUBLE) END",
 }
 
 
