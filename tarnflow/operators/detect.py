@@ -52,7 +52,7 @@ class Recognizer:
 
 
 def luhn(c: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(c, "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(c, "[^0-9]", ""))
 
 
 def octets(c: Column) -> Column:
