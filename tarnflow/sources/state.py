@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,12 +56,15 @@ class StateStore:
 
     def __init__(self, spark: SparkSession, root: str, runs: str = "_rep_runs", state: str = "_rep_state"):
         self.spark, self.root, self.names = spark, root.rstrip("/"), (runs, state)
+        self.lock, self.seq = threading.Lock(), 0  # two writers of one folder would share its temporary files
 
     def _append(self, table: str, schema: str, row: dict) -> None:
         full = f"{schema}, seq bigint, deleted boolean"
         fields = [c.name for c in self.spark.createDataFrame([], full).schema.fields]
-        row = {**row, "seq": int(now().timestamp() * 1e6), "deleted": row.get("deleted", False)}
-        self.spark.createDataFrame([tuple(row.get(f) for f in fields)], full).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
+        with self.lock:
+            self.seq = max(self.seq + 1, int(now().timestamp() * 1e6))
+            row = {**row, "seq": self.seq, "deleted": row.get("deleted", False)}
+            self.spark.createDataFrame([tuple(row.get(f) for f in fields)], full).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
 
     def _read(self, table: str, schema: str) -> DataFrame:
         full = f"{schema}, seq bigint, deleted boolean"
