@@ -8,7 +8,9 @@
 * *Bands.* ``ROWS`` signature values make a band. Two classes at the threshold
   share some band with a probability of 1 - (1 - 0.8**6)**64 > 1 - 1e-8.
 * *Stars.* Within a bucket only hubs' edges are candidates: first those of the
-  member that shares most buckets with others, then of the next best ones. Candidates are confirmed on the full sets, and
+  member that shares most buckets with others, then of the next best ones.
+  Shingles that no other candidate has bound what two sets can share, so pairs
+  that cannot reach the similarity are never made (this bound is exact). Candidates are confirmed on the full sets, and
   confirmed links join components. In buckets that still span several
   components, members outside the largest one become hubs in turn (a few, then
   eight times as many), compared with members of other components only, until
@@ -29,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnflow.llm._id_filter import IdFilter
@@ -196,6 +198,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node, own: how many of a node's shingles no other node of ``sets`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node))], ["shingle", "node"])
+
+    each = sets.select("node", "shingles").mapInArrow(run, "shingle bigint, node bigint")
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    # an id with several texts stands for several sets, of which this would be the sum
+    single = sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("node")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("own")).join(single, "node")
+
+
+def may_reach(percent: int, n: str, own: str, other_n: str, other_own: str) -> Column:
+    """Whether two sets can be similar enough: what is one set's own cannot be common to both."""
+    common = F.least(F.col(n) - F.col(own), F.col(other_n) - F.col(other_own))
+    return 100 * common >= percent * (F.col(n) + F.col(other_n) - common)
+
+
 def least_neighbour(links: DataFrame) -> DataFrame:
     """u, low: the least of each node and its neighbours, where that is not the node itself."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -237,14 +261,17 @@ def star_links(spark: SparkSession, buckets: DataFrame, sets: DataFrame, percent
     """a, b: confirmed links that join everything in ``buckets`` (key, node, n) that links join."""
     # the member that meets most others is the likeliest middle of a group of near copies
     met = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("rank"))
-    buckets, ranked_path = materialize(spark, buckets.join(met, "node"), "ranked-keys")
-    best = F.max(F.struct("rank", F.negative("node").alias("other"), "node", "n"))
+    extra = met.join(own_shingles(sets), "node", "left").select("node", "rank", F.coalesce("own", F.lit(0)).alias("own"))
+    # a set that has too much of its own is similar to none
+    able = buckets.join(extra, "node").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    buckets, ranked_path = materialize(spark, able, "ranked-keys")
+    best = F.max(F.struct("rank", F.negative("node").alias("other"), "node", "n", "own"))
     hubs = buckets.groupBy("key").agg(best.alias("hub"))
-    star = buckets.join(hubs, "key").where("node <> hub.node").where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    star = buckets.join(hubs, "key").where("node <> hub.node").where(may_reach(percent, "n", "own", "hub.n", "hub.own"))
     ends = star.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
     links, _ = materialize(spark, confirm(ends, sets, percent), "star-links")
     found = [links]
-    open_ = buckets.join(hubs.select("key", F.col("hub.node").alias("first")), "key").select("key", "node", "n", "rank", F.col("node").alias("label"), (F.col("node") == F.col("first")).alias("hub"))
+    open_ = buckets.join(hubs.select("key", F.col("hub.node").alias("first")), "key").select("key", "node", "n", "own", "rank", F.col("node").alias("label"), (F.col("node") == F.col("first")).alias("hub"))
     open_path, turn = ranked_path, 1
     while True:
         # one contraction is enough here: labels that are still apart cost comparisons, never a link
@@ -262,13 +289,13 @@ def star_links(spark: SparkSession, buckets: DataFrame, sets: DataFrame, percent
         else:
             share = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 20)) * F.col("left") < (HUBS << 20) * (8.0 ** (turn - 1))
             chosen = ~F.col("hub") & (F.col("label") != F.col("main")) & share
-        more, more_path = materialize(spark, live.select("key", "node", "n", "rank", "label", (F.col("hub") | chosen).alias("hub"), chosen.alias("now")), "buckets")
+        more, more_path = materialize(spark, live.select("key", "node", "n", "own", "rank", "label", (F.col("hub") | chosen).alias("hub"), chosen.alias("now")), "buckets")
         release(spark, step_path, *([open_path] if open_path else []))
         if not more.limit(1).count():
             release(spark, more_path)
             return reduce(DataFrame.unionByName, found)
-        now = more.where("now").select("key", F.col("node").alias("hub_node"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
-        fits = (F.col("label") != F.col("hub_label")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        now = more.where("now").select("key", F.col("node").alias("hub_node"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
+        fits = (F.col("label") != F.col("hub_label")) & may_reach(percent, "n", "own", "hub_n", "hub_own")
         pairs = more.join(now, "key").where(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         links, _ = materialize(spark, confirm(pairs, sets, percent), "star-links")
         found.append(links)
