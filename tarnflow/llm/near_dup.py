@@ -330,8 +330,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the least id."""
+    """``docs`` with one row of each near-duplicate group: that with the least id.
+
+    Of rows without an id, one of each text stays.
+    """
     found = near_duplicates(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    once = Window.partitionBy("doc_id").orderBy("_hash")
+    # without an id, a row stands for its text alone
+    once = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_hash"))).orderBy("_hash")
     unique = docs.withColumn("_hash", F.xxhash64("text")).join(found, docs["doc_id"].eqNullSafe(F.col("_kept")))
     return unique.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*docs.columns)
