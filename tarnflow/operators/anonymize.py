@@ -165,3 +165,14 @@ def anonymize_text(spark, text: str | None, name: str, entity_type: str | None =
         return text
     f = operator(resolve_smart(name, entity_type), {"entity_type": entity_type} if entity_type else None)
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
+
+
+def supported_entities() -> list[str]:
+    """The kinds of values for which a mask or a made-up value exists."""
+    return sorted({*MASK_NAMES, *FAKE_NAMES})
+
+
+def operators_for(entity_type: str) -> list[str]:
+    """The operators that fit a kind of value: its own first, then those for any."""
+    own = [table[entity_type] for table in (MASK_NAMES, FAKE_NAMES) if entity_type in table]
+    return [*own, "smart_mask", "smart_fake", "redact", "mask", "hash", "replace", "keep", "encrypt"]

@@ -9,6 +9,7 @@ from typing import Any, Literal
 import yaml
 from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
 
+from tarnflow.operators.anonymize import operator
 from tarnflow.operators.relationships import Relationship
 from tarnflow.operators.transforms import checked
 
@@ -44,6 +45,22 @@ class PiiConfig(Part):
     entity_types: list[str] = Field(default_factory=lambda: list(ENTITIES))
     default_strategies: dict[str, str] = Field(default_factory=lambda: dict(STRATEGIES))
     allowlist: list[str] = Field(default_factory=list)
+    #: Operators by entity with their parameters, before the strategies above.
+    anonymization_operators: dict[str, dict[str, Any]] = Field(default_factory=dict)
+    #: Other names for operators, as strategies.
+    custom_strategy_aliases: dict[str, str] = Field(default_factory=dict)
+
+    @model_validator(mode="after")
+    def known(self):
+        for spec in self.anonymization_operators.values():
+            operator(self.custom_strategy_aliases.get(spec["operator"], spec["operator"]), spec.get("params"))
+        return self
+
+    def step(self, path: str, entity: str, strategy: str) -> dict[str, Any]:
+        """The anonymization step that a finding asks for."""
+        spec = self.anonymization_operators.get(entity, {"operator": strategy})
+        name = self.custom_strategy_aliases.get(spec["operator"], spec["operator"])
+        return {"type": "anonymize", "field": path, "operator": name, "params": {**(spec.get("params") or {}), "entity_type": entity}}
 
 
 class CursorConfig(Part):

@@ -59,7 +59,8 @@ def proposal(config: Config, scans: list[CollectionScan], inferred: list[Relatio
     load = (config.replication or LoadConfig()).model_copy(deep=True)
     collections = dict(load.collections)
     for one in scans:
-        steps = [{"type": "anonymize", "field": f["path"], "operator": f["strategy"], "params": {"entity_type": f["entity"]}} for f in sorted(one.findings, key=lambda f: (f["path"], -f["avg_confidence"])) if f["strategy"] != "keep"]
+        pii = (config.scan or ScanConfig()).pii_analysis
+        steps = [pii.step(f["path"], f["entity"], f["strategy"]) for f in sorted(one.findings, key=lambda f: (f["path"], -f["avg_confidence"])) if f["strategy"] != "keep"]
         own = collections.get(one.name)
         given = own.model_dump(exclude_unset=True) if own else {}
         have = {t.get("field") for t in given.get("transforms", []) if t["type"] == "anonymize"}

@@ -90,27 +90,23 @@ class Discovery:
 
 def selected(name: Column, replicate_all: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), internal: tuple[str, ...] = ()) -> Column:
     """Whether a collection is taken: patterns are searched for, exclusion wins, internal tables never."""
-    hit = F.lit(replicate_all or not include)
-    if not replicate_all and include:
-        hit = F.lit(False)
-        for p in include:
-            hit = hit | name.rlike(p)
+    hit = F.lit(replicate_all)
+    for p in () if replicate_all else include:
+        hit = hit | name.rlike(p)
     for p in (*exclude, *(f"^\\Q{t}\\E$" for t in internal)):
         hit = hit & ~name.rlike(p)
     return hit
 
 
 def discover(names: list[str], replicate_all: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), internal: tuple[str, ...] = (), configured: tuple[str, ...] = ()) -> Discovery:
-    """The same choice over a list of names; collections with a configuration count as included without patterns."""
+    """The same choice over a list of names, told apart by whether they have a configuration."""
     out = [re.compile(p) for p in exclude]
     into = [re.compile(p) for p in include]
 
     def take(n: str) -> bool:
         if n in internal or any(p.search(n) for p in out):
             return False
-        if replicate_all:
-            return True
-        return any(p.search(n) for p in into) if into else n in configured
+        return replicate_all or any(p.search(n) for p in into)
 
     included = sorted(n for n in names if take(n))
     return Discovery(included, sorted(set(names) - set(included)), [n for n in included if n in configured], [n for n in included if n not in configured])

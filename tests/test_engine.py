@@ -123,6 +123,7 @@ def test_state(spark, tmp_path):
 def test_discovery_and_places():
     d = discover(["a1", "b", "_rep", "tmp"], False, ("^a", "b"), ("b$",), ("_rep",), ("a1",))
     assert (d.included, d.excluded, d.configured, d.auto_discovered) == (["a1"], ["_rep", "b", "tmp"], ["a1"], [])
+    assert discover(["a"], False).included == []
     for same in (("/data/x/", "file:///data//x"), ("hdfs://Host/a", "hdfs://host/a/")):
         with pytest.raises(ValueError):
             check_apart(*same)
@@ -144,6 +145,9 @@ def test_config():
     assert (own.cursor_field, own.write_disposition, own.cursor_initial_value) == ("at", "append", dt.datetime(2021, 1, 1))
     assert c.replication.of("other").write_disposition == "append"
     assert load_config(text=dump_config(c)) == c
+    pii = load_config(text="scan: {pii_analysis: {anonymization_operators: {PERSON: {operator: cover, params: {masking_char: '#'}}}, custom_strategy_aliases: {cover: mask}}}").scan.pii_analysis
+    assert pii.step("a", "PERSON", "redact") == {"type": "anonymize", "field": "a", "operator": "mask", "params": {"masking_char": "#", "entity_type": "PERSON"}}
+    assert pii.step("a", "URL", "redact")["operator"] == "redact"
     assert deep_merge({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}}
     for bad in ("{}", "scan: {sampling: {sample_size: 0}}", "replication: {defaults: {cursor_initial_value: soon}}", "replication: {collections: {c: {transforms: [{type: x}]}}}", "schema_relationships: [{parent: a, child: a, child_field: x}]\nscan: {}", "[1]"):
         with pytest.raises(ValueError):

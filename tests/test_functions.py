@@ -70,6 +70,7 @@ def test_registry_is_strict():
             A.operator(name, params)(F.lit("x"))
     with pytest.raises(TypeError):
         A.operator("mask_email", {"min_local_part": "5"})(F.lit("x"))
+    assert "CA_SIN" in A.supported_entities() and A.operators_for("PERSON")[:2] == ["mask_person", "fake_name"]
     A.register("shout", lambda c: F.upper(c))
     assert A.operator("shout")
     del A.OPERATORS["shout"]
