@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tarnflow.llm._scratch import bound_batches, materialize, release
 from tarnflow.llm._training import labelled
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 6, 0.5
@@ -80,7 +80,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     done = 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            at, weight = docs[i]
+            at, weight = docs[i][0], docs[i][1].astype(np.float32)
             step = rate * (1 - done / share)
             done += 1
             rows = table[at]
@@ -116,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus:
     if len(set(y.tolist())) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    texts = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float16).astype(np.float32)) for a, w in zip(table.column("at").to_pylist(), table.column("weight").to_pylist(), strict=True)]
+    texts = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float16)) for a, w in zip(table.column("at").to_pylist(), table.column("weight").to_pylist(), strict=True)]
+    del table
     return fit(texts, y)
 
 
