@@ -32,7 +32,7 @@ from tarnflow.llm._scratch import bound_batches
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 #: Entries of each worker's cache; beyond it the cache starts anew, which costs time only.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 500_000
 
 SHARD_SCHEMA = "doc_id bigint, shard int, rel_start bigint, n_tokens bigint, ids array<int>"
 
@@ -93,6 +93,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
+        self.tokens.clear()
         self.slots: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
@@ -173,20 +174,33 @@ class PieceEncoder:
     def _ids(self, parts: list[str]) -> list[bytes]:
         find, plain, known = self.words.findall, _PLAIN.match, self.tokens
         split = [find(p) if plain(p) else None for p in parts]
-        if len(known) > self.capacity // 2:
-            known.clear()
-        new = list({w for ws in split if ws for w in ws}.difference(known))
+        new, fresh = list({w for ws in split if ws for w in ws}.difference(known)), {}
         for i in range(0, len(new), 20_000):
             block = new[i : i + 20_000]
             e = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
             ends = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(block)) * 4).tolist()
             raw = np.array(e.ids, np.int32).tobytes()
-            known.update((w, raw[a:b]) for w, a, b in zip(block, [0, *ends], ends, strict=False))
+            fresh.update((w, raw[a:b]) for w, a, b in zip(block, [0, *ends], ends, strict=False))
+        if len(known) < self.capacity // 2:
+            known.update(fresh)
+            fresh = known
         direct = iter(self.tokenizer.encode_batch_fast([p for p, ws in zip(parts, split, strict=True) if ws is None], add_special_tokens=False))
-        get = known.__getitem__
+        get = known.__getitem__ if fresh is known else lambda w: known.get(w) or fresh[w]
         return [np.array(next(direct).ids, np.int32).tobytes() if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
+_ENCODERS: dict[tuple[int, str], PieceEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str, pattern: str) -> PieceEncoder:
+    """The worker's encoder; it serves all tasks of the process, so that its cache stays warm."""
+    key = (hash(tokenizer_json), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(tokenizer_json, pattern)
+    return _ENCODERS[key]
+
+
 def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0) -> DataFrame:
     """Rows of SHARD_SCHEMA, range-partitioned and sorted by id."""
     spark = docs.sparkSession
@@ -199,7 +213,7 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or PieceEncoder(model.value, pattern)
+            encoder = encoder or encoder_of(model.value, pattern)
             text = batch.column(1).cast(pa.large_string())
             text = text.fill_null("") if text.null_count else text
             _, where, data = text.buffers()
