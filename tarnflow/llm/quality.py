@@ -16,6 +16,7 @@ without both labels among the training rows every score is the share of label 1
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -144,14 +145,25 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(key: str, shared) -> Scorer:
+    """The worker's scorer of a model; it serves all tasks of the process, so that its words stay known."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(shared.value)
+    return _SCORERS[key]
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers
+    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(key, shared)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
