@@ -11,9 +11,12 @@
   is a candidate; windows leave a table's walk at the first sample at which no
   item agrees. Tables repeat until the recall that the sampled agreement of
   edited items promises reaches ``RECALL``.
-* *Check.* A candidate item is aligned to the words around the window (free
-  ends, exact edit distance); it is a leak if at most ``EDITS`` of its words need
-  an edit.
+* *Pieces.* An item with at most e edits, cut into e + 1 pieces, keeps one of
+  them word for word. So every place where a document holds a piece is a
+  candidate too, wherever the edits are: no leak is lost, whatever the tables find.
+* *Check.* Candidate items are aligned to the words around their windows (free
+  ends, exact edit distance); an item is a leak if at most ``EDITS`` of its words
+  need an edit.
 
 Words are runs of letters and digits, case-folded; words that no item has are
 one symbol, which agrees with nothing. Items of fewer than ``LEAST_WORDS`` words are
@@ -47,6 +50,7 @@ SLICE_BYTES = 16 << 20
 SEED = 29
 #: Words of one walk; a text's windows are split between walks.
 BLOCK_WORDS = 1 << 18
+PIECE_BITS = 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -76,6 +80,46 @@ class Tables:
             self.tables.append(self._table(coins, at))
             missed *= 1 - self._agreement(coins, at, edited)
         self.expected_recall = 1 - missed if self.coded else 1.0
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By piece length: a bit for each low half of a key, the sorted keys, where their owners begin, and the owners (item, offset)."""
+        by_length = defaultdict(list)
+        for k, c in enumerate(self.coded):
+            cuts = np.linspace(0, len(c), int(EDITS * len(c)) + 2).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                by_length[b - a].append((k, a))
+        out = []
+        for length, owners in sorted(by_length.items()):
+            item, offset = np.array(owners).T
+            keys = self._grams(np.concatenate([self.coded[k][a : a + length] for k, a in owners]), length)[::length]
+            order = np.argsort(keys, kind="stable")
+            distinct, begins = np.unique(keys[order], return_index=True)
+            bits = np.zeros(1 << PIECE_BITS, bool)
+            bits[distinct >> np.uint64(64 - PIECE_BITS)] = True
+            out.append((length, bits, distinct, np.append(begins, len(keys)), item[order], offset[order]))
+        return out
+
+    def _grams(self, seq: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the ``length`` words from each position on that has as many."""
+        n = max(0, len(seq) - length + 1)
+        key = np.zeros(n, np.uint64)
+        for i in range(length):
+            key = self.join(key, seq[i : i + n].astype(np.uint64))
+        return key * np.uint64(0xD6E8FEB86659FD93)
+
+    def shared_pieces(self, seq: np.ndarray) -> set[tuple[int, int, int]]:
+        """(position, item, offset in the item) of every piece that a symbol sequence holds."""
+        found: set[tuple[int, int, int]] = set()
+        for length, bits, keys, begins, item, offset in self.pieces:
+            key = self._grams(seq, length)
+            at = np.flatnonzero(bits[key >> np.uint64(64 - PIECE_BITS)])
+            slot = np.searchsorted(keys, key[at])
+            same = keys[np.minimum(slot, len(keys) - 1)] == key[at]
+            for p, k in zip(at[same].tolist(), slot[same].tolist(), strict=True):
+                owned = slice(begins[k], begins[k + 1])
+                found.update((p, i, o) for i, o in zip(item[owned].tolist(), offset[owned].tolist(), strict=True))
+        return found
 
     def _walk(self, coins: np.ndarray, coded: list[np.ndarray]) -> np.ndarray:
         """The whole embedding of each sequence; beyond a sequence's end it is 0."""
@@ -147,13 +191,13 @@ class Tables:
                 found.update((p, item) for item in owners.get(k, ()))
         return found
 
-    def align(self, item: int, seq: np.ndarray, start: int) -> tuple[int, int, int] | None:
-        """Edit distance, first and last word of the item's best alignment around ``start``."""
+    def align(self, item: int, seq: np.ndarray, start: int, last: int) -> tuple[int, int, int] | None:
+        """Edit distance, first and last word of the item's best alignment around the starts from ``start`` to ``last``."""
         code = self.coded[item]
         n = len(code)
         most = int(EDITS * n)
         low = max(0, start - most)
-        text = seq[low : start + n + most]
+        text = seq[low : last + n + most]
         have = Counter(text.tolist())
         if n - sum(min(c, have.get(s, 0)) for s, c in self.counts[item].items()) > most:
             return None
@@ -173,18 +217,26 @@ class Tables:
                 best = (int(cost[n]), low + int(begin[n]), low + j + 1)
         return best
 
-    def leaks(self, seq: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, first word, end word, edits): the best place of each item in a sequence."""
-        best: dict[int, tuple[int, int, int]] = {}
-        done: dict[int, list[int]] = defaultdict(list)
-        for start, item in sorted(self.candidates(seq)):
-            if best.get(item, (1,))[0] == 0 or any(abs(start - d) <= 1 for d in done[item][-1:]):
-                continue
-            done[item].append(start)
-            hit = self.align(item, seq, start)
-            if hit and (item not in best or hit < best[item]):
-                best[item] = hit
-        return [(item, a, b, d) for item, (d, a, b) in sorted(best.items())]
+    def leaks(self, seq: np.ndarray, places: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(item, first word, end word, edits): the best place of each item in a sequence, of those around ``places`` (start, item)."""
+        starts: dict[int, list[int]] = defaultdict(list)
+        for start, item in sorted(places):
+            starts[item].append(start)
+        out = []
+        for item, at in sorted(starts.items()):
+            n, best, first = len(self.coded[item]), None, at[0]
+            for last, following in zip(at, [*at[1:], None], strict=True):
+                if following is not None and following - last <= n:  # their windows overlap: one alignment
+                    continue
+                hit = self.align(item, seq, first, last)
+                if hit and (best is None or hit < best):
+                    best = hit
+                first = following
+                if best and best[0] == 0:
+                    break
+            if best:
+                out.append((item, best[1], best[2], best[0]))
+        return out
 
 
 LEAK = "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, edits bigint, item_words bigint"
@@ -213,10 +265,13 @@ def _leaks_in(tables: Tables, texts: list[str | None]) -> list[list[tuple[int, i
             return
         joined = np.concatenate(block)
         begins = np.array([b for _, b, _ in owner])
-        hot = {int(np.searchsorted(begins, p, "right")) - 1 for p, _ in tables.candidates(joined)}
-        for h in sorted(hot):
+        places: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        for p, item, offset in {(p, item, 0) for p, item in tables.candidates(joined)} | tables.shared_pieces(joined):
+            h = int(np.searchsorted(begins, p, "right")) - 1
+            places[h].add((p - offset - owner[h][1], item))
+        for h, near in sorted(places.items()):
             k, b, n = owner[h]
-            out[k] = tables.leaks(joined[b : b + n])
+            out[k] = tables.leaks(joined[b : b + n], near)
         block.clear()
         owner.clear()
         at = 0

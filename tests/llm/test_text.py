@@ -188,3 +188,30 @@ def test_items_in_slices(spark, monkeypatch):
     assert len(decontaminate.item_slices(b)) > 3
     d = spark.createDataFrame([(i, "x y " + t) for i, t in items], "doc_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(i, i) for i in range(20)}
+
+
+def test_leaks_wherever_the_edits_are(spark):
+    rng = random.Random(31)
+    pool = [f"w{i}" for i in range(2000)]
+    items = [(i, [rng.choice(pool) for _ in range(8 if i == 0 else rng.randint(40, 59))]) for i in range(60)]
+    docs, want = [], {}
+    for i, w in items[1:]:
+        most = len(w) // 5
+        for how in range(4):
+            x = list(w)
+            if how == 0:  # other first words
+                x[:most] = ["other"] * most
+            elif how == 1:  # without the first words
+                x = x[most:]
+            elif how == 2:  # as many words in between, in the first half
+                for _ in range(most):
+                    x.insert(rng.randrange(1, 20), "other")
+            else:
+                for at in rng.sample(range(len(w)), most):
+                    x[at] = "other"
+            docs.append((4 * i + how, " ".join(["before"] * rng.randint(0, 30) + x + ["after"] * rng.randint(0, 30))))
+            want[4 * i + how] = i
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == set(want.items())
+    assert decontaminate.clean(d, b).count() == 0
