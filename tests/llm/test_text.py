@@ -215,3 +215,18 @@ def test_leaks_wherever_the_edits_are(spark):
     b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == set(want.items())
     assert decontaminate.clean(d, b).count() == 0
+
+
+def test_tables_reach_the_recall_they_state():
+    rng = random.Random(5)
+    items = [(i, [f"w{rng.randrange(3000)}" for _ in range(rng.randint(16, 59))]) for i in range(300)]
+    tables = decontaminate.Tables(items)
+    found = 0
+    for k, (_, w) in enumerate(items):
+        x = list(w)
+        for _ in range(len(w) // 5):
+            at, how = rng.randrange(len(x)), rng.randrange(3)
+            x[at : at + (how != 2)] = ["other"] if how else []
+        seq = [tables.symbol.get(v, 0) for v in x]
+        found += any(item == k for _, item in tables.candidates(decontaminate.np.array(seq, "int32")))
+    assert tables.expected_recall >= decontaminate.RECALL and found / len(items) >= tables.expected_recall - 0.05, (len(tables.tables), found)
