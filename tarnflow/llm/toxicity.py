@@ -2,11 +2,12 @@
 
 * *Language model.* Counts of letter trigrams over all documents (a table of
   ``SYMBOLS`` cubed cells, summed in the shuffle) give log-probabilities.
-* *Lattice.* A token with substituted characters (``1d10t``), stretched letters
-  (``idiiiot``) or separated letters (``i d i o t``, ``i.d.i.o.t``) becomes a lattice: every
-  character offers the letters it may stand for, a repeat may be dropped, a
-  separator vanishes. Viterbi's algorithm finds the path of greatest language
-  and channel probability. Other tokens have one path, themselves.
+* *Lattice.* A token with substituted characters (``1d10t``), repeated letters
+  (``idiiiot``, ``iddiioott``) or separators (``i d i o t``, ``i.d.i.o.t``, ``id-iot``) becomes a
+  lattice, whatever its length: every character offers the letters it may stand
+  for, a repeat may be dropped, a separator may vanish, and characters may stay.
+  Viterbi's algorithm finds the path of greatest language and channel
+  probability. Other tokens have one path, themselves.
 * *Score.* Words of the restored text and their prefixes are features of
   presence. Those whose share differs between the labels by far more than
   chance enter a logistic regression, fitted by Newton's method in numpy.
@@ -44,13 +45,20 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
-COST_SWAP, COST_DROP, COST_KEEP = 0.7, 2.0, 8.0
-LONGEST = 40
+COST_SWAP, COST_DROP, COST_KEEP, COST_JOIN = 0.7, 2.0, 8.0, 0.5
+#: What a reading without doubled letters must gain on a word (and most of its letters must be doubled: worthless stays).
+LEAST_GAIN = 3.0
+#: Longer tokens are not remembered.
+LONGEST_KNOWN = 200
 
 _TOKEN = re.compile(r"\S+")
-#: Three or more single letters (or their stand-ins) that one kind of separator splits.
-_SPACED = re.compile(r"(?<!\S)(?:[A-Za-z0-9@$!|+](?:([ ._\-*])(?:[A-Za-z0-9@$!|+]\1){1,30})[A-Za-z0-9@$!|+])(?!\S)")
-_STRETCH = re.compile(r"([A-Za-z])\1\1")
+#: Three or more single letters (or their stand-ins) that one separator, repeated alike, splits.
+_SPACED = re.compile(r"""(?<![^\s("'\[])[A-Za-z0-9@$!|+](([ ._\-*])\2*)(?:[A-Za-z0-9@$!|+]\1)+[A-Za-z0-9@$!|+](?=[.,;:!?)"'\]]*(?!\S))""")
+_REPEAT = re.compile(r"([A-Za-z])\1", re.IGNORECASE)
+_STRETCH = re.compile(r"(.)\1{3,}", re.IGNORECASE)
+_JOINT = re.compile(r"[^\W_][._\-*]+[^\W_]")
+#: Symbols without letters and digits that may stand for a word.
+_SIGNS = re.compile(r"[@$!|+(<€£¡*#]{3,}")
 _TAIL = re.compile(r"[^\w@$]+$|[$#%&*!?]{2,}[.,;:]*$")
 _HEAD = re.compile(r"^[^\w@$!|+(<]+")
 _MIXED = re.compile(r"[A-Za-z].*[0-9@$!|+(<€£¡*#]|[0-9@$!|+(<€£¡*#].*[A-Za-z]")
@@ -101,13 +109,21 @@ class Decoder:
         if out is None:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            out = self.known[token] = self._best(token.lower())
+            out = self._best(_STRETCH.sub(r"\1\1\1", token.lower()))
+            if len(token) <= LONGEST_KNOWN:
+                self.known[token] = out
         return out
 
+    def _plain(self, token: str) -> float:
+        """The cost of a token of letters as it stands."""
+        s = [SYMBOLS - 1] * 2 + [ord(c) - 97 if "a" <= c <= "z" else 26 for c in token] + [SYMBOLS - 1]
+        return -sum(self.model[x][y][z] for x, y, z in zip(s, s[1:], s[2:]))
+
     def _best(self, token: str) -> str:
         lm, border = self.model, SYMBOLS - 1
+        numeric = not any(c.isalpha() for c in token) and any(c.isdigit() for c in token)
         # state: the last two symbols and whether the last may be stretched -> (cost, letters)
-        states = {(border, border): (0.0, "")}
+        states: dict = {(border, border): (0.0, None)}  # letters as a linked list: linear in the token
         for i, ch in enumerate(token):
             options = []
             if "a" <= ch <= "z":
@@ -116,23 +132,32 @@ class Decoder:
                 options += [(c, COST_SWAP) for c in STANDS_FOR.get(ch, "")]
                 if ch.isalpha():
                     options.append((ch, 0.0))
-                elif ch.isdigit():
-                    options.append((ch, COST_KEEP))
-            drop = COST_DROP if i and ch == token[i - 1] and ch.isalpha() else 0.0 if not ch.isalnum() and not options else None
+                elif ch.isdigit() or numeric:
+                    options.append((ch, 0.0 if numeric else COST_KEEP))
+                elif ch in "._-":
+                    options.append((ch, 0.0))
+            drop = COST_DROP if i and ch == token[i - 1] and ch.isalpha() else COST_JOIN if ch in "._-" else 0.0 if not ch.isalnum() and not options else None
             after: dict = {}
             for (a, b), (cost, text) in states.items():
                 if drop is not None:
                     self._put(after, (a, b), cost + (0.05 if drop and token[max(0, i - 2) : i] == ch + ch else drop), text)
                 for c, price in options:
-                    s = ord(c) - 97 if "a" <= c <= "z" else 26
-                    self._put(after, (b, s), cost + price - lm[a][b][s], text + c)
+                    s = ord(c) - 97 if "a" <= c <= "z" else border if numeric or c in "._-" else 26
+                    self._put(after, (b, s), cost + price - lm[a][b][s], (text, c))
             states = after or states
-        return min((cost - lm[a][b][border], text) for (a, b), (cost, text) in states.items())[1]
+        cost, path = min(((cost - lm[a][b][border], text) for (a, b), (cost, text) in states.items()), key=lambda x: x[0])
+        out = []
+        while path:
+            path, c = path
+            out.append(c)
+        if token.isalpha() and not re.search(r"(.)\1\1", token) and (2 * (len(token) - len(out)) <= len(out) or self._plain(token) - cost < LEAST_GAIN):
+            return token
+        return "".join(reversed(out))
 
     @staticmethod
     def _put(states: dict, key: tuple, cost: float, text: str) -> None:
         old = states.get(key)
-        if old is None or (cost, text) < old:
+        if old is None or cost < old[0]:
             states[key] = (cost, text)
 
 
@@ -143,15 +168,20 @@ class Restorer:
         self.decode, self.known = Decoder(model), {}
 
     def word(self, token: str) -> str:
+        signs = token.strip(".,;:?\"'")
+        if _SIGNS.fullmatch(signs) and len(set(signs)) > 1:
+            return self.decode(signs)
         core = _HEAD.sub("", _TAIL.sub("", token))
         if not core:
             return ""
         if "://" in core or "@" in core and "." in core.rpartition("@")[2]:  # addresses are no words
             return core.lower()
-        if len(core) <= LONGEST and (_MIXED.search(core) or _STRETCH.search(core)):
-            letters = sum(c.isalpha() for c in core)
-            if letters * 2 >= len(core) or letters and not re.search(r"[0-9]{3}", core):
+        if any(c.isalpha() for c in core):
+            if _MIXED.search(core) or _REPEAT.search(core) or _JOINT.search(core):
                 return self.decode(core)
+        elif any(c.isdigit() for c in core):  # a number, unless letters are likelier
+            word = self.decode(core)
+            return word if word.isalpha() else core.lower()
         return core.lower()
 
     def _spaced(self, text: str) -> str:

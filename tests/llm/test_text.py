@@ -230,3 +230,20 @@ def test_tables_reach_the_recall_they_state():
         seq = [tables.symbol.get(v, 0) for v in x]
         found += any(item == k for _, item in tables.candidates(decontaminate.np.array(seq, "int32")))
     assert tables.expected_recall >= decontaminate.RECALL and found / len(items) >= tables.expected_recall - 0.05, (len(tables.tables), found)
+
+
+def test_leetspeak_reaches_the_decoder():
+    words = ["idiot", "worthless", "people", "that", "said", "there", "letter", "house", "water", "river", "other", "this", "and", "then"]
+    text = " ".join(random.Random(2).choices(words, k=4000)) + " 2024 455 1000"
+    s = toxicity._BYTE_SYMBOL[toxicity.np.frombuffer(text.encode(), "uint8")].astype(int)
+    n = toxicity.SYMBOLS
+    counts = toxicity.np.bincount(s[:-2] * n * n + s[1:-1] * n + s[2:], minlength=n**3)
+    restore = toxicity.Restorer(toxicity.log_model(counts))
+    long = "w" * 13 + "o" * 12 + "r" * 14 + "thless"
+    for token in ("w0r7hl355", "1d107", "id-iot", "id.iot", "iddiioott", "i  d  i  o  t", "i d i o t.", "i.d.i.o.t!"):
+        assert restore.words(token) == {"worthless" if token[0] == "w" else "idiot"}, token
+    assert next(iter(restore.words(long))).startswith("worthles")
+    for token in ("letter", "worthless", "2024", "455", "1000", "3.14", "12:30"):
+        assert restore.words(token) == {token}
+    assert restore.words("t h i s  i d i o t") == {"this", "idiot"}
+    assert len(restore.text("a1" * 50_000)) <= 100_000
