@@ -44,6 +44,22 @@ def release(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """The intermediates of one run: written once, and deleted together when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = materialize(self.spark, df, label)
+        self.paths.append(path)
+        return out
+
+    def release(self) -> None:
+        release(self.spark, *self.paths)
+        self.paths.clear()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, so that very long texts do not meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
