@@ -1,27 +1,37 @@
 """Long repeated byte strings: bucket-pointer refinement over sampled suffixes.
 
-A window (a suffix cut at ``WINDOW`` bytes) is refined in two steps, each of
-which compares bucket identifiers and not bytes:
-
-* *Initial buckets.* Every offset belongs to the bucket of its ``GRAM``-gram; a
-  bucket's identifier is a 64-bit hash of the gram, so that it needs no sort of
-  the whole corpus to be the same everywhere. Of the offsets a window covers,
-  the one with the least identifier stands for the window (equal windows pick
-  the same one), so one entry in about 73 bytes goes to the shuffle. A bucket
-  with one entry is final: none of its windows repeats.
-* *Refinement.* A window equals (identifier at its start, identifier at the
-  later offset ``WINDOW - GRAM``). Windows next to each other that chose the
-  same entry form a run; a run's identifier is refined from the identifiers at
-  its start, at the later offset, and at the later offset of its last window.
-  Entries of one bucket and equal run identifiers repeat as a whole. Where runs
-  of a bucket differ, one entry for each run identifier is refined once more,
-  window by window, from the same identifiers.
-
-Identifiers are compared by hash aggregation, which combines equal keys before
-the shuffle, so that a passage in a third of all documents is no hot key.
+A window (a suffix cut at ``WINDOW`` bytes) is refined by bucket identifiers at
+later offsets:
+
+* *Initial buckets.* Every offset belongs to the bucket of its ``FIRST``-gram,
+  whose identifier is the gram itself.
+* *Refinement.* A bucket of q-grams is refined to one of 2q-grams by the
+  identifiers at an offset and at the offset q later; the updated identifiers
+  are what the next step refines by, and so on up to ``GRAM`` bytes. New
+  identifiers are hashes of the pair and not ranks, so that they are the same on
+  all machines without a sort of the whole corpus, and each document refines
+  its own suffixes.
+* *Samples.* Of the offsets a window covers, the one with the least identifier
+  names the window's bucket (equal windows have equal ones). Consecutive
+  windows of one bucket form a run of at most ``LATER`` + 1 windows, so one entry
+  in about 73 bytes goes to the shuffle, and one in 145 where a text repeats
+  itself. A bucket with one entry is final: none of its windows repeats.
+* *Last refinement.* A window equals (identifier at its start, identifier at the
+  later offset ``WINDOW - GRAM``). A run's identifier is refined from the
+  identifiers at its start, at the later offset, and at the later offset of its
+  last window. Entries of one bucket and equal run identifiers repeat as a
+  whole. Where runs of a bucket differ, one entry for each run identifier is
+  refined once more, window by window, from the same identifiers.
+
+Identifiers are counted by hash aggregation, which combines equal keys before
+the shuffle. A passage in a third of all documents has a bucket for each of its
+runs, and a text that repeats itself one entry in 145 bytes, so that no bucket
+holds more than a small part of all entries.
 
 Defined results: null text is empty; texts shorter than a window keep all
-bytes; equal rows count as repeats of each other; an empty table gives no rows.
+bytes, and longer ones may have any length that a row can; equal rows count as
+repeats of each other, rows without an id like others; only doc_id and text are
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,15 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm._id_filter import IdFilter
-from tarnflow.llm._scratch import bound_batches, materialize, release
+from tarnflow.llm._scratch import Scratch, bound_batches, materialize
 
 WINDOW, GRAM = 400, 256
 LATER = WINDOW - GRAM
-#: Bits of a packed entry that hold the offset; texts may have this many bytes (256 MB).
-OFFSET_BITS = 28
+#: Bytes of the initial grams; doubling them ends at GRAM.
+FIRST = 8
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BASE = 0x5851F42D4C957F2D
 S29, S32 = np.uint64(29), np.uint64(32)
 
 
@@ -53,50 +62,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S32)
 
 
-class Grams:
-    """Bucket identifiers of all GRAM-grams of a byte string, by prefix sums modulo 2**64."""
-
-    def __init__(self):
-        self.value = mix64(np.arange(1, 257, dtype=np.uint64) * M1)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = pow(BASE, -1, 1 << 64)
-        out = []
-        for base in (BASE, inverse):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-            out.append(p)
-        self.up, self.down = out
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        n = len(raw)
-        if n > len(self.up):
-            self._powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[np.frombuffer(raw, np.uint8)] * self.up[:n], out=sums[1:])
-        return mix64((sums[GRAM:] - sums[:-GRAM]) * self.down[: n - GRAM + 1])
+def identifiers(raw: bytes) -> np.ndarray:
+    """Bucket identifiers of all GRAM-grams of a byte string, refined from FIRST-grams by doubling."""
+    n = len(raw) - FIRST + 1
+    ids = np.empty(n, np.uint64)
+    for k in range(FIRST):
+        ids[k::FIRST] = np.frombuffer(raw, "<u8", (n - k + FIRST - 1) // FIRST, k)
+    q = FIRST
+    while q < GRAM:
+        ids = mix64(mix64(ids[:-q] + M1) + ids[q:] * M2)
+        q *= 2
+    return ids
 
 
 def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entry offset, first and last window start of each run."""
+    """Bucket, first and last window start of each run."""
     n = len(ids) - LATER
-    shift = np.uint64(OFFSET_BITS)
-    packed = ((ids >> shift) << shift) | np.arange(len(ids), dtype=np.uint64)
     span = LATER + 1
     # least value of each stretch of ``span``: running minima from both ends of blocks
     blocks = -(-len(ids) // span)
     grid = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
-    grid[: len(ids)] = packed
+    grid[: len(ids)] = ids
     grid = grid.reshape(blocks, span)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    entry = (np.minimum(behind[:n], ahead[LATER : LATER + n]) & np.uint64((1 << OFFSET_BITS) - 1)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(entry)) + 1])
-    last = np.concatenate([first[1:] - 1, [n - 1]])
-    return entry[first], first, last
+    least = np.minimum(behind[:n], ahead[LATER : LATER + n])
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    length = np.diff(np.append(begin, n))
+    pieces = -(-length // span)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(begin, pieces) + nth * span
+    last = np.append(first[1:], n) - 1
+    return least[first], first, last
 
 
 def run_ids(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +117,16 @@ def entries(rows: DataFrame) -> DataFrame:
     names = ["k1", "k2", "first", "last", "bucket", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
             for k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 if len(raw) < WINDOW:
                     continue
-                ids = grams(raw)
-                at, first, last = runs(ids)
+                ids = identifiers(raw)
+                bucket, first, last = runs(ids)
                 one, two = run_ids(ids, first, last)
-                for o, v in zip(out, (np.full(len(at), k1), np.full(len(at), k2), first.astype(np.int32), last.astype(np.int32), ids[at].view(np.int64), one, two), strict=True):
+                for o, v in zip(out, (np.full(len(first), k1), np.full(len(first), k2), first.astype(np.int32), last.astype(np.int32), bucket.view(np.int64), one, two), strict=True):
                     o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
@@ -148,10 +144,9 @@ def refine(rows: DataFrame, open_runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(part.columns[:3], ["k1", "k2", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
         for batch in batches:
             for k1, k2, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = grams(text.encode())
+                ids = identifiers(text.encode())
                 n = np.array([s["last"] - s["first"] + 1 for s in spans])
                 begin = np.array([s["first"] for s in spans])
                 at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -169,29 +164,25 @@ def refine(rows: DataFrame, open_runs: DataFrame) -> DataFrame:
     return once.join(of_row, ["k1", "k2"]).mapInArrow(run, "k1 bigint, k2 bigint, at int, need boolean, one bigint, two bigint")
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(temp: Scratch, docs: DataFrame) -> DataFrame:
     """k1, k2, start, end: byte ranges (they may overlap) that repeated windows cover."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(temp.spark)
     rows = keyed(docs)
-    all_, all_path = materialize(spark, entries(rows), "entries")
+    all_ = temp.write(entries(rows), "entries")
+    run = ["bucket", "one", "two"]
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    live, live_path = materialize(spark, all_.join(shared, "bucket", "left_semi"), "live-entries")
-    release(spark, all_path)
-    classes = live.groupBy("bucket", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("least"))
-    classes, classes_path = materialize(spark, classes, "run-classes")
-    whole = live.join(classes.where("n > 1").select("bucket", "one", "two"), ["bucket", "one", "two"], "left_semi")
+    live = temp.write(all_.join(shared, "bucket", "left_semi"), "live-entries")
+    classes = live.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("least"))
+    classes = temp.write(classes, "run-classes")
+    whole = live.join(classes.where("n > 1").select(*run), run, "left_semi")
     whole = whole.select("k1", "k2", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end")).distinct()
     # a bucket with several runs of which one is alone: that one is open, the others it may meet go along
     mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("fewest")).where("runs > 1 and fewest = 1").select("bucket")
     open_runs = classes.join(mixed, "bucket", "left_semi").select("least.k1", "least.k2", "least.first", "least.last", (F.col("n") == 1).alias("need"))
-    open_runs, open_path = materialize(spark, open_runs, "open-runs")
-    windows, windows_path = materialize(spark, refine(rows, open_runs), "windows")
+    windows = temp.write(refine(rows, temp.write(open_runs, "open-runs")), "windows")
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     parts = windows.where("need").join(again, ["one", "two"], "left_semi").select("k1", "k2", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))
-    out, _ = materialize(spark, whole.unionByName(parts), "ranges")
-    release(spark, live_path, classes_path, open_path, windows_path)
-    return out
+    return temp.write(whole.unionByName(parts), "ranges")
 
 
 def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -214,8 +205,8 @@ def without_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     Rows that the filter excludes have no range and are finished where they are
     read; only the others meet their ranges in a shuffle.
     """
-    spark = docs.sparkSession
-    ranges = repeated_ranges(docs)
+    temp = Scratch(docs.sparkSession)
+    ranges = repeated_ranges(temp, docs)
     chosen = IdFilter.of(ranges, "k1", "k2")
     names = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -248,5 +239,10 @@ def without_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     rows = keyed(docs).select("doc_id", "text", "k1", "k2", *IdFilter.hashes("k1", "k2"))
     of_row = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     met = rows.mapInArrow(other, "doc_id bigint, text string, k1 bigint, k2 bigint").join(of_row, ["k1", "k2"], "left")
-    bound_batches(spark)
-    return rows.select("doc_id", "text", "_h1", "_h2").mapInArrow(clean, RESULT).unionByName(met.select("doc_id", "text", "spans").mapInArrow(cut, RESULT))
+    bound_batches(temp.spark)
+    out = rows.select("doc_id", "text", "_h1", "_h2").mapInArrow(clean, RESULT).unionByName(met.select("doc_id", "text", "spans").mapInArrow(cut, RESULT))
+    if with_bytes:  # as large as the corpus: left to the caller to write
+        return out
+    out, _ = materialize(temp.spark, out, "cut")
+    temp.release()
+    return out

@@ -9,7 +9,7 @@ import pytest
 from tarnflow.llm import near_dup
 from tarnflow.llm._scratch import Scratch
 from tarnflow.llm.near_dup import components, keep_one, near_duplicates
-from tarnflow.llm.repeat_ranges import cover, without_repeats
+from tarnflow.llm.repeat_ranges import cover, identifiers, runs, without_repeats
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -132,8 +132,8 @@ def test_long_chain_of_links(spark):
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
 
 
-def test_repeats_equal_brute_force(edge, edge_rows):
-    raw = [(r[0], (r[1] or "").encode()) for r in edge_rows]
+def cut_by_hand(rows):
+    raw = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[p : p + 400] for _, t in raw for p in range(len(t) - 399))
     want = Counter()
     for i, t in raw:
@@ -143,9 +143,35 @@ def test_repeats_equal_brute_force(edge, edge_rows):
             mask[a:b] = b"\1" * (b - a)
         rest = bytes(c for c, m in zip(t, mask) if not m)
         want[(i, len(t), sum(mask), len(gone), hashlib.sha256(rest).hexdigest(), rest)] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in without_repeats(edge).collect()) == want
+    return want
+
+
+def cut(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in without_repeats(df).collect())
+
+
+def test_repeats_equal_brute_force(edge, edge_rows):
+    want = cut_by_hand([(r[0], r[1]) for r in edge_rows])
+    assert cut(edge) == want
     assert sum(k[2] for k in want) > 3000
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Periodic stretches with other ends, a stretch broken in the middle, and repeats that start or end inside a run."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = noise(700)
+    rows = [(1, "ab" * 500 + "c" + "ab" * 300), (2, "x" + "ab" * 450 + noise(50)), (3, "abc" * 200), (4, "q" * 400), (5, "q" * 399), (6, noise(300) + "q" * 399 + noise(300)), (7, "Ored " * 400), (8, noise(90) + "Ored " * 90 + noise(700))]
+    rows += [(9, noise(100) + shared + noise(40)), (10, shared[200:]), (11, noise(30) + shared[:405]), (12, shared[130:531] + noise(10)), (13, shared[:399]), (14, "é" * 600), (None, "é" * 210)]
+    want = cut_by_hand(rows)
+    assert cut(frame(spark, rows)) == want
+    assert sum(k[2] > 0 for k in want) >= 9
+
+
+def test_a_periodic_text_has_few_entries():
+    assert len(runs(identifiers(b"ab" * 50_000))[0]) < 100_000 // 140
+    assert len(identifiers(bytes(256))) == 1 and len(identifiers(bytes(400))) == 145
+
+
 def test_repeats_in_nothing(empty):
     assert without_repeats(empty).count() == 0
