@@ -11,8 +11,11 @@ A document's global start is its start inside the shard plus the shard's
 offset. Only the per-shard totals (one row a shard) are summed in order.
 
 Defined results: a null text is empty and gets only the end id; null ids sort
-first; rows that share an id are kept, ordered by text; an empty table gives an
-empty result. Strings that look like special tokens are ordinary text.
+first; rows that share an id are kept, ordered by a hash of
+their text, and are spread over shards like others; an empty table gives an
+empty result; texts of any length are one row of ids. Strings that are special
+tokens become these tokens, as the library does; ``special_as_text`` makes them
+ordinary text. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -73,18 +76,23 @@ class PieceEncoder:
     A pre-token never has white space after a visible character, so a text's
     ids are the ids of its chunks (white space and the visible characters after
     it) in order. The chunks of a block of texts are found and hashed on the
-    bytes at once; each distinct one is looked up, or goes through the
-    tokenizer, once a block. Chunks are told apart by 64-bit hashes. A full
-    cache takes nothing new and starts anew when it stops matching the texts;
-    both cost time only. Texts with rare white space go to the tokenizer whole.
+    bytes at once; each distinct one is looked up by its bytes, or goes through
+    the tokenizer, once a block. Hashes only gather equal chunks of a block: the
+    bytes of all are compared, and texts with a chunk that differs from its
+    hash's first go to the tokenizer whole, as texts with rare white space or
+    special tokens do. A full cache takes nothing new and starts anew when it
+    stops matching the texts; both cost time only.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str, capacity: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer_json: str, pattern: str, special_as_text: bool = False, capacity: int = CACHE_ENTRIES):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: Strings that the tokenizer takes out of a text before anything else.
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [t.content.encode() for t in added]
         self.words = regex.compile(pattern)
         self.capacity = capacity
         self.value = _mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
@@ -94,7 +102,7 @@ class PieceEncoder:
 
     def _reset(self) -> None:
         self.tokens.clear()
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.filled = self.used = 0
@@ -125,17 +133,20 @@ class PieceEncoder:
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(self.value[b] * self.up[:size], out=sums[1:])
         key = _mixed((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64) * _M2)
-        distinct, at, where = np.unique(key, return_index=True, return_inverse=True)
-        slot = self._slots(distinct, first[at], last[at], b)
+        _, at, where = np.unique(key, return_index=True, return_inverse=True)
+        raw = b.tobytes()
+        slot = self._slots(first[at], last[at], raw)
         n = self.length[slot][where].astype(np.int64)
         ends = np.cumsum(n)
         flat = self.pool[np.repeat(self.start[slot][where] - ends + n, n) + np.arange(ends[-1])]
         before = np.append(0, ends)[np.searchsorted(first, offsets)]
         counts = np.diff(before)
         self._forget()
-        odd = np.unique(np.searchsorted(offsets, odd_spaces(b), "right") - 1)
+        size_of = last - first
+        other = np.minimum(np.arange(size) + np.repeat(first[at][where] - first, size_of), size - 1)
+        unlike = np.concatenate([np.flatnonzero(b[other] != b), first[size_of != size_of[at][where]], self._added_at(raw)])
+        odd = np.unique(np.searchsorted(offsets, np.concatenate([odd_spaces(b), unlike]), "right") - 1)
         if len(odd):
-            raw = b.tobytes()
             whole = self.tokenizer.encode_batch_fast([raw[offsets[t] : offsets[t + 1]].decode() for t in odd], add_special_tokens=False)
             parts = np.split(flat, before[1:-1])
             for t, e in zip(odd.tolist(), whole, strict=True):
@@ -144,13 +155,23 @@ class PieceEncoder:
             flat = np.concatenate(parts)
         return flat, counts
 
-    def _slots(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, b: np.ndarray) -> np.ndarray:
-        known = list(map(self.slots.get, keys.tolist()))
+    def _added_at(self, raw: bytes) -> np.ndarray:
+        """Offsets of the strings that are tokens as a whole."""
+        found = []
+        for string in self.added:
+            at = raw.find(string)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(string, at + 1)
+        return np.array(found, np.int64)
+
+    def _slots(self, first: np.ndarray, last: np.ndarray, raw: bytes) -> np.ndarray:
+        chunks = [raw[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+        known = list(map(self.slots.get, chunks))
         missing = [i for i, s in enumerate(known) if s is None]
         self.missed = len(missing) / max(1, len(known))
         if missing:
-            raw = b.tobytes()
-            ids = self._ids([raw[s:e].decode() for s, e in zip(first[missing].tolist(), last[missing].tolist(), strict=True)])
+            ids = self._ids([chunks[i].decode() for i in missing])
             n = np.array(list(map(len, ids))) // 4
             while self.used + len(ids) > len(self.start):
                 self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
@@ -163,7 +184,7 @@ class PieceEncoder:
             for s, i in enumerate(missing, self.used):
                 known[i] = s
             if keep:
-                self.slots.update(zip(keys[missing].tolist(), range(new.start, new.stop), strict=True))
+                self.slots.update(zip((chunks[i] for i in missing), range(new.start, new.stop), strict=True))
                 self.used, self.filled = new.stop, int(self.filled + n.sum())
         return np.array(known, np.int64)
 
@@ -189,19 +210,19 @@ class PieceEncoder:
         return [np.array(next(direct).ids, np.int32).tobytes() if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
-_ENCODERS: dict[tuple[int, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[int, str, bool], PieceEncoder] = {}
 
 
-def encoder_of(tokenizer_json: str, pattern: str) -> PieceEncoder:
+def encoder_of(tokenizer_json: str, pattern: str, special_as_text: bool) -> PieceEncoder:
     """The worker's encoder; it serves all tasks of the process, so that its cache stays warm."""
-    key = (hash(tokenizer_json), pattern)
+    key = (hash(tokenizer_json), pattern, special_as_text)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(tokenizer_json, pattern)
+        _ENCODERS[key] = PieceEncoder(tokenizer_json, pattern, special_as_text)
     return _ENCODERS[key]
 
 
-def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0) -> DataFrame:
+def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Rows of SHARD_SCHEMA, range-partitioned and sorted by id."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -213,7 +234,7 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or encoder_of(model.value, pattern)
+            encoder = encoder or encoder_of(model.value, pattern, special_as_text)
             text = batch.column(1).cast(pa.large_string())
             text = text.fill_null("") if text.null_count else text
             _, where, data = text.buffers()
@@ -230,13 +251,13 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: in
             start += int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
+    return rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(run, SHARD_SCHEMA)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end_id: int = 0) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end_id: int = 0, special_as_text: bool = False) -> None:
     """Encode ``docs`` and write the ORC shards under ``path``."""
     (
-        encode_sorted(docs, tokenizer_file, pattern, end_id)
+        encode_sorted(docs, tokenizer_file, pattern, end_id, special_as_text)
         .write.option("compression", "zstd")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_STRIDE))
