@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tarnflow.llm.secret_scan import scan, span_text
+from tarnflow.llm.secret_scan import scan, span_text, token_tests
 from tarnflow.llm.source_mix import mix, mix_counts, mixed_documents
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,6 +32,48 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[100 + i] for i in range(40)) <= 2
 
 
+def p_values(token):
+    """The battery by the textbook, for hex tokens."""
+    import math
+
+    tail = lambda z: 1 / (1 + math.exp(max(-700, min(700, 1.5976 * z + 0.070565 * z**3))))
+    v, k = [int(c, 16) for c in token], 16
+    n = len(v)
+    cells = min(k, max(4, n // 2))
+    chi = sum(c * c for c in Counter(x * cells // k for x in v).values()) * cells / n - n
+    away = n * 1.2
+    p_chi = tail((cells - 1 + away - chi) / math.sqrt(2 * (cells - 1 + 2 * away)))
+    high = [x >= k / 2 for x in v]
+    ones = sum(high)
+    zeros = n - ones
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * ones * zeros / n + 1
+    p_runs = tail((n * 0.32 - abs(runs - mean)) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))) if ones and zeros else 1.0
+    m = sum(v) / n
+    spread = sum((x - m) ** 2 for x in v)
+    p_serial = tail((0.6 - abs(sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / spread)) * math.sqrt(n)) if spread else 1.0
+    return max(p_chi, p_runs, p_serial)
+
+
+def test_battery_equals_the_textbook(spark):
+    rows = [(i, t) for i, t in enumerate([hashlib.sha256(str(i).encode()).hexdigest()[: 20 + i] for i in range(40)] + ["0123456789abcdef" * 3, "a1" * 20, "0a" + "0" * 30])]
+    tests = spark.createDataFrame(rows, "i int, t string").select("i", token_tests(F.col("t")).alias("x")).collect()
+    for r in tests:
+        (x,) = r.x
+        token = rows[r.i][1]
+        assert (x.start, x.end) == (0, len(token)) and abs(x.bin - min(3000, -100 * __import__("math").log10(max(p_values(token), 1e-30)))) <= 1.001
+
+
+def test_many_tokens_in_one_text(spark):
+    n = 10_000
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:40] for i in range(n))
+    import time
+
+    began = time.perf_counter()
+    row = scan(spark.createDataFrame([(1, "é" + text)], "doc_id bigint, text string")).select(F.size("hex").alias("h"), F.size("random").alias("r")).first()
+    assert row.h == n and row.r > 0.9 * n and time.perf_counter() - began < 60
+
+
 def test_scan_of_nothing(empty):
     assert scan(empty).count() == 0
 
@@ -85,8 +127,10 @@ def test_slots_interleave_sources(spark):
 
 def test_mix_of_nothing_and_documents(edge, empty):
     assert mix_counts(mix(empty)).count() == 0 and mixed_documents(empty).count() == 0
-    out = mixed_documents(edge)
-    assert out.columns == edge.columns
+    clash = dict(zip(edge.columns[5:], ["_id", "_words", "turn", "copies", "row"], strict=True))
+    out = mixed_documents(edge.toDF(*(clash.get(c, c) for c in edge.columns)))
+    assert out.columns == [clash.get(c, c) for c in edge.columns]
+    assert {tuple(r[c] for c in clash.values()) for r in out.collect()} == {(7, 1, "s", "z", "k")}
     n = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert max(v for k, v in n.items() if k != 43) <= 3 and 0 not in n
 
