@@ -8,18 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm._scratch import load
+from tarnflow.llm._scratch import load, materialize
 from tarnflow.llm.source_mix import mix, mix_counts
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_counts(mix(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    m = mix(load(spark, sf_dir, "documents"))
+    counts, _ = materialize(spark, mix_counts(m).select("doc_id", "size", "source_size", "target", "taken"), "mix-counts")
+    m.temp.release()
+    return counts
 
 
 SQL = r"""
 WITH rows_ AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS key
   FROM documents),
 sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized),

@@ -17,17 +17,20 @@ a source with a third of all rows is still spread over thousands of groups.
 Only DataFrame functions are used.
 
 Defined results: null text has size 0; documents of size 0 take nothing; null
-ids and repeated rows are rows of their own; an empty table gives no rows.
+ids and repeated rows are rows of their own (rows without an id are ordered by
+a hash of their text); a long document is cut at the blocks' borders; equal
+shares are ordered by source; other columns pass ``mixed_documents`` unread,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm._scratch import materialize
+from tarnflow.llm._scratch import Scratch, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 4096
@@ -49,6 +52,13 @@ class Mix:
     rows: DataFrame  # doc_id, source, size, sid, bucket, pos, begin
     sources: DataFrame  # source, sid, source_size, target, quota
     schedule: DataFrame  # slot, sid, rank, doc_id, bucket, pos, from_word, words
+    temp: Scratch  # what the others read; to be released after them
+
+
+def stream_key() -> Column:
+    """The order of a source's stream; rows without an id are told apart by their text."""
+    without_id = F.concat(F.lit("null"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("bigint").cast("string"), without_id)).cast("binary"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -57,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint"),
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
+        stream_key().alias("key"),
     )
 
 
@@ -139,15 +149,16 @@ def block_pieces(placed: DataFrame, sources: DataFrame, block_words: int) -> Dat
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS) -> Mix:
     """Plan the mix of ``docs`` (columns doc_id, source, text)."""
     spark = docs.sparkSession
-    rows, _ = materialize(spark, measured(docs), "mix-rows")
-    sources, _ = materialize(spark, source_targets(rows, max_repeats), "mix-sources")
+    temp = Scratch(spark)
+    rows = temp.write(measured(docs), "mix-rows")
+    sources = temp.write(source_targets(rows, max_repeats), "mix-sources")
     total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
     n_slots = -(-total[0] // block_words) + total[1]
-    placed, _ = materialize(spark, stream_positions(rows, sources), "mix-streams")
+    placed = temp.write(stream_positions(rows, sources), "mix-streams")
     slots = slot_ranks(spark, sources, n_slots, max(1, total[0]), block_words)
     pieces = block_pieces(placed, sources, block_words)
     schedule = slots.withColumnRenamed("rank", "block").join(pieces, ["sid", "block"]).select("slot", "sid", F.col("block").alias("rank"), "doc_id", "bucket", "pos", "from_word", "words")
-    return Mix(placed, sources, schedule)
+    return Mix(placed, sources, schedule, temp)
 
 
 def mix_counts(m: Mix) -> DataFrame:
@@ -166,8 +177,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, **options)
     s = m.sources.select("sid", "source_size", "quota")
     copies = F.floor((F.col("quota") - 1 - F.col("begin")) / F.col("source_size")) + 1
-    times = m.rows.join(s, "sid").where("size > 0 and begin < quota").groupBy("doc_id", "source", "size").agg(F.max(copies).cast("int").alias("_copies"))
-    wanted = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    own = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    joined = own.join(wanted, own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    times = m.rows.join(s, "sid").where("size > 0 and begin < quota").groupBy("doc_id", "source", "size").agg(F.max(copies).cast("int").alias("copies"))
+    wanted, _ = materialize(docs.sparkSession, times.select(F.col("doc_id").alias("id2"), F.col("source").alias("source2"), F.col("size").alias("size2"), "copies"), "mix-copies")
+    m.temp.release()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id1"), F.col("source").cast("string").alias("source1"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size1"))
+    same = F.col("id1").eqNullSafe(F.col("id2")) & F.col("source1").eqNullSafe(F.col("source2")) & (F.col("size1") == F.col("size2"))
+    return own.join(wanted, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn")).select("row.*")
