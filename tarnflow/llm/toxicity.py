@@ -12,10 +12,15 @@
   presence. Those whose share differs between the labels by far more than
   chance enter a logistic regression, fitted by Newton's method in numpy.
 
-Labels are learnt from at most ``TRAIN_ROWS`` rows; scoring reads whole texts.
+Labels are learnt from at most ``TRAIN_ROWS`` rows and the ``MOST_FEATURES`` features
+that differ most; scoring reads whole texts.
 Defined results: null and empty texts get the score of no evidence; without
 both labels among the training rows every score is their share (0 without
-rows); each input row gets a row.
+rows); a labelled id with several labels has the largest; features of equal
+evidence are taken in the order of their hash; each input row gets a row,
+repeated rows and rows without an id as well, and equal texts equal scores;
+texts and tokens may have any length; ``accepted`` keeps all columns, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,10 +68,16 @@ _TAIL = re.compile(r"[^\w@$]+$|[$#%&*!?]{2,}[.,;:]*$")
 _HEAD = re.compile(r"^[^\w@$!|+(<]+")
 _MIXED = re.compile(r"[A-Za-z].*[0-9@$!|+(<€£¡*#]|[0-9@$!|+(<€£¡*#].*[A-Za-z]")
 
-_BYTE_SYMBOL = np.full(256, 26, np.uint8)
-_BYTE_SYMBOL[:128] = 27
+#: Symbols of ASCII characters, and of all beyond.
+_SYMBOL = np.full(129, 27, np.uint8)
+_SYMBOL[128] = 26
 for _i in range(26):
-    _BYTE_SYMBOL[ord("a") + _i] = _BYTE_SYMBOL[ord("A") + _i] = _i
+    _SYMBOL[ord("a") + _i] = _SYMBOL[ord("A") + _i] = _i
+
+
+def symbols_of(text: str) -> np.ndarray:
+    """One symbol a character, as the decoder counts them."""
+    return _SYMBOL[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 128)].astype(np.int32)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -78,7 +89,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                s = _BYTE_SYMBOL[np.frombuffer(f" {text or ''} ".encode(), np.uint8)].astype(np.int32)
+                s = symbols_of(f" {text or ''} ")
                 total += np.bincount(s[:-2] * (SYMBOLS * SYMBOLS) + s[1:-1] * SYMBOLS + s[2:], minlength=cells) if len(s) > 2 else 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
