@@ -11,7 +11,13 @@ between the labels is one number; workers remember it for the words they met.
 
 Defined results: null and empty texts get the score of a text without words;
 without both labels among the training rows every score is the share of label 1
-(one half without rows); each input row gets a row.
+(one half without rows); a labelled id with several texts trains on each, one
+with several labels on the largest; each input row gets a row, repeated rows
+and rows without an id as well, and equal texts equal scores; long texts are
+read whole, a word at a time; only doc_id and text are read; an empty table
+gives no rows. The driver holds at most ``TRAIN_ROWS`` rows of at most
+``BUCKETS`` entries of 6 bytes; texts of some thousand words have a few
+thousand entries, 30 MB for all rows of the test data.
 """
 
 from __future__ import annotations
@@ -40,8 +46,8 @@ def rows_of(word: str) -> np.ndarray:
     """Table rows of a word and of its character n-grams, with borders."""
     import xxhash
 
-    w = f"<{word}>".encode()
-    forms = [b"=" + w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]
+    w = f"<{word}>"
+    forms = ["=" + w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]
     return np.array([xxhash.xxh3_64_intdigest(f) % BUCKETS for f in forms], np.int32)
 
 
