@@ -48,16 +48,18 @@ class Scratch:
     """The intermediates of one run: written once, and deleted together when its result is written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.kept = spark, []
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         out, path = materialize(self.spark, df, label)
-        self.paths.append(path)
+        self.kept.append((out, path))
         return out
 
-    def release(self) -> None:
-        release(self.spark, *self.paths)
-        self.paths.clear()
+    def release(self, *tables: DataFrame) -> None:
+        """Delete the given tables, or all."""
+        gone = [(df, path) for df, path in self.kept if not tables or any(df is t for t in tables)]
+        release(self.spark, *(path for _, path in gone))
+        self.kept = [x for x in self.kept if not any(x is g for g in gone)]
 
 
 def bound_batches(spark: SparkSession) -> None:

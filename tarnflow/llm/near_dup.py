@@ -377,6 +377,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     entries = temp.write(bucket_rows(class_keys(rows, names)), "band-keys")
     common = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     shared = temp.write(entries.join(common, "key", "left_semi"), "shared-keys")
+    temp.release(entries)
     nodes = names.join(shared.select("node").distinct(), "node", "left_semi").select("node", "least", "s1", "s2")
     sets = temp.write(candidate_sets(docs, nodes, width), "sets")
     labels = components(temp, links_of(temp, shared, sets, percent))

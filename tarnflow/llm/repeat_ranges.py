@@ -172,6 +172,7 @@ def repeated_ranges(temp: Scratch, docs: DataFrame) -> DataFrame:
     run = ["bucket", "one", "two"]
     shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     live = temp.write(all_.join(shared, "bucket", "left_semi"), "live-entries")
+    temp.release(all_)
     classes = live.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("least"))
     classes = temp.write(classes, "run-classes")
     whole = live.join(classes.where("n > 1").select(*run), run, "left_semi")
@@ -182,7 +183,9 @@ def repeated_ranges(temp: Scratch, docs: DataFrame) -> DataFrame:
     windows = temp.write(refine(rows, temp.write(open_runs, "open-runs")), "windows")
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     parts = windows.where("need").join(again, ["one", "two"], "left_semi").select("k1", "k2", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))
-    return temp.write(whole.unionByName(parts), "ranges")
+    ranges = temp.write(whole.unionByName(parts), "ranges")
+    temp.release(live, classes, windows)
+    return ranges
 
 
 def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -14,25 +15,37 @@ from tarnflow.llm.token_shards import checksums, read_shards, with_global_start,
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def shards(spark, docs, path):
-    write_shards(docs, path, TOKENIZER, public_tokenizers.PATTERN)
+def shards(spark, docs, path, **options):
+    write_shards(docs, path, TOKENIZER, public_tokenizers.PATTERN, **options)
     return read_shards(spark, path)
 
 
-def test_shards_equal_the_tokenizer(spark, edge, edge_rows, tmp_path):
-    extra = [(900, "a  b\n\n\nc  d\x1c e it's\t<|endoftext|> \n"), (901, " \n lead"), (902, "tail \n\n")]
-    docs = edge.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
-    read = shards(spark, docs, str(tmp_path / "s"))
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_shards_equal_the_tokenizer(spark, edge, edge_rows, tmp_path, special_as_text):
+    extra = [(900, "a  b\n\n\nc  d\x1c e it's\t<|endoftext|> \n"), (901, " \n lead"), (902, "tail \n\n"), (903, "x <|endoftext|> y"), (904, "<|endoftext|><|endoftext|>x<|endoftext|")]
+    # words that every polynomial hash modulo a power of two takes for one another
+    extra += [(910 + k, text) for k, text in enumerate(thue_morse(n, *ab) for n in (1024, 2048) for ab in ("ab", "ba"))]
+    extra += [(920, " ".join(thue_morse(1024, *ab) for ab in ("ab", "ba", "ab")))]
+    docs = edge.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string").coalesce(1))
+    read = shards(spark, docs, str(tmp_path / "s"), special_as_text=special_as_text)
     got = with_global_start(checksums(read), read).orderBy("start").collect()
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    rows = sorted([(r[0], r[1] or "") for r in edge_rows] + extra, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    start = 0
-    assert [r.doc_id for r in got] == [i for i, _ in rows]
-    for r, (i, text) in zip(got, rows):
+    t.encode_special_tokens = special_as_text
+    rows = [(r[0], r[1] or "") for r in edge_rows] + extra
+    want = Counter()
+    for i, text in rows:
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
-        start += len(ids)
+        want[(i, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
     one = read_shards(spark, str(tmp_path / "s"), F.col("doc_id") == 42)
     assert "EqualTo(doc_id,42)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
 
@@ -42,8 +55,9 @@ def test_shards_of_nothing(spark, empty, tmp_path):
     assert with_global_start(checksums(read), read).count() == 0
 
 
-def test_media_round_trip(edge, edge_rows):
-    stored = iso_media.store_texts(edge, F.col("text"))
+def test_media_round_trip(edge, edge_rows, empty, tmp_path):
+    stored = iso_media.write_media(iso_media.store_texts(edge, F.col("text")), str(tmp_path / "m"))
+    assert iso_media.payload_digest(iso_media.store_texts(empty, F.col("text"))).count() == 0
     want = sorted((r[0] or -1, (r[1] or "").encode()) for r in edge_rows)
     got = sorted(((r.doc_id if r.doc_id is not None else -1, r) for r in iso_media.payload_digest(stored).collect()), key=lambda x: (x[0], x[1].n_bytes))
     assert len(got) == len(want)
@@ -76,6 +90,48 @@ def test_tracks_by_hand():
     assert iso_media.tracks(None) == [] and iso_media.tracks(b"\0\0\0\1moov") == [] and iso_media.tracks(data[:-30]) is not None
 
 
+def test_damaged_and_nested_containers():
+    b, fb, u = iso_media.box, iso_media.full_box, iso_media._u32
+    deep = b(b"free")
+    for _ in range(3000):
+        deep = b(b"moov", deep)
+    assert iso_media.tracks(deep) == []
+    most = (1 << 32) - 1
+
+    def track(*tables):
+        return b(b"moov", b(b"trak", b(b"mdia", fb(b"mdhd", u(0, 0, 1000, 0), bytes(4)), b(b"minf", b(b"stbl", *tables)))))
+
+    for tables in (
+        (fb(b"stsc", u(1), u(1, most, 1)), fb(b"stsz", u(1, most)), fb(b"stco", u(2, 0, 9))),
+        (fb(b"stsc", u(3), u(1, 1, 1), u(1, 5, 1), u(0, most, 1)), fb(b"stsz", u(0, most, 1, 1)), fb(b"stco", u(most, 0, 9))),
+        (fb(b"stts", u(most, 1)), fb(b"stsc", u(most)), fb(b"stsz", u(7, 3)), fb(b"stss", u(most, 5))),
+    ):
+        (t,) = iso_media.tracks(track(*tables))
+        assert len(t["keyframes"]) < 1000
+    (t,) = iso_media.tracks(track(fb(b"stsc", u(1), u(1, 9, 1)), fb(b"stz2", b"\0\0\0\4", u(3), b"\x12\x30"), fb(b"stco", u(1, 100))))
+    assert [(k["start"], k["end"]) for k in t["keyframes"]] == [(100, 101), (101, 103), (103, 106)]
+    data = iso_media.store(bytes(4096))
+    for cut in range(0, len(data), 7):
+        iso_media.tracks(data[:cut])
+        iso_media.tracks(data[:cut] + b"\xff" * 9 + data[cut + 9 :])
+
+
+def test_movie_fragments():
+    b, fb, u = iso_media.box, iso_media.full_box, iso_media._u32
+    tkhd = fb(b"tkhd", u(0, 0, 7, 0, 0))
+    moov = b(b"moov", b(b"trak", tkhd, b(b"mdia", fb(b"mdhd", u(0, 0, 100, 0), bytes(4)), fb(b"hdlr", u(0), b"vide", bytes(12)))), b(b"mvex", fb(b"trex", u(7, 1, 10, 50, 0x10000))))
+    sizes = fb(b"trun", u(3, 200, 0, 5, 6, 7), flags=0x1 | 0x4 | 0x200)  # first sample is a keyframe, others as the defaults say
+    more = fb(b"trun", u(2), flags=0)  # goes on where the last run ends, in default sizes
+    data = moov + b(b"moof", b(b"traf", fb(b"tfhd", u(7), flags=0x20000), sizes, more))
+    at = len(moov)
+    (t,) = iso_media.tracks(data)
+    assert (t["samples"], t["seconds"], t["handler"]) == (5, 0.5, "vide")
+    assert [(k["start"], k["end"]) for k in t["keyframes"]] == [(at + 200, at + 205)]
+    own = b(b"moof", b(b"traf", fb(b"tfhd", u(7, 0, 5000, 30, 0), flags=0x1 | 0x10 | 0x20), fb(b"trun", u(2), flags=0)))
+    (t,) = iso_media.tracks(moov + own)
+    assert [(k["start"], k["end"]) for k in t["keyframes"]] == [(5000, 5030), (5030, 5060)]
+
+
 def test_chat_layouts_and_masks(spark):
     records = [
         (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}'), (2, '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}'), (3, '{"instruction":"do","input":"this","output":"done"}'),
@@ -134,6 +190,29 @@ def test_toxicity(labelled):
     assert toxicity.scores(docs.limit(0), model).count() == 0
 
 
+def test_one_symbol_a_character():
+    assert toxicity.symbols_of("aZ é-字").tolist() == [0, 25, 27, 26, 27, 26]
+
+
+def test_scores_of_any_rows(edge, edge_rows, labelled):
+    """Nulls, blanks, a very long text, repeated rows and clashing names; a text's score is its own."""
+    docs, labels = labelled
+    names = {"lang": "score", "score": "found", "label": "held_out"}
+    clash = edge.toDF(*(names.get(c, c) for c in edge.columns))
+    for scores, model in ((toxicity.scores, toxicity.train(docs, labels)), (quality.scores, quality.train(docs, labels))):
+        got = scores(clash, model).collect()
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in edge_rows)
+        assert all(0 <= r.score <= 1 for r in got)
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, set()).add(r.score)
+        assert len(by[43]) == 1 and by[0] == by[1] == by[2]
+        assert scores(clash.limit(0), model).count() == 0
+    model = toxicity.train(docs, labels)
+    kept = toxicity.accepted(clash, model, 2.0)
+    assert kept.columns == clash.columns and Counter(kept.collect()) == Counter(clash.collect())
+
+
 def test_quality(labelled):
     docs, labels = labelled
     got = {r.doc_id: r.score for r in quality.scores(docs, quality.train(docs, labels)).collect()}
@@ -185,7 +264,7 @@ def test_items_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 200)
     items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(20)]
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    assert len(decontaminate.item_slices(b)) > 3
+    assert len(list(decontaminate.item_slices(b))) > 3
     d = spark.createDataFrame([(i, "x y " + t) for i, t in items], "doc_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(i, i) for i in range(20)}
 
@@ -219,23 +298,67 @@ def test_leaks_wherever_the_edits_are(spark):
 
 def test_tables_reach_the_recall_they_state():
     rng = random.Random(5)
-    items = [(i, [f"w{rng.randrange(3000)}" for _ in range(rng.randint(16, 59))]) for i in range(300)]
+    items = [(i, [f"w{rng.randrange(3000)}" for _ in range(rng.randint(8, 130))]) for i in range(400)]
     tables = decontaminate.Tables(items)
-    found = 0
+    found = {"random": 0, "head": 0, "tail": 0}
     for k, (_, w) in enumerate(items):
+        most = len(w) // 5
         x = list(w)
-        for _ in range(len(w) // 5):
+        for _ in range(most):
             at, how = rng.randrange(len(x)), rng.randrange(3)
             x[at : at + (how != 2)] = ["other"] if how else []
-        seq = [tables.symbol.get(v, 0) for v in x]
-        found += any(item == k for _, item in tables.candidates(decontaminate.np.array(seq, "int32")))
-    assert tables.expected_recall >= decontaminate.RECALL and found / len(items) >= tables.expected_recall - 0.05, (len(tables.tables), found)
+        for kind, y in (("random", x), ("head", w[most:]), ("tail", w[: len(w) - most])):
+            seq = [tables.symbol.get(v, 0) for v in y]
+            found[kind] += any(item == k for _, item, _ in tables.candidates(decontaminate.np.array(seq, "int32")))
+    assert tables.expected_recall >= decontaminate.RECALL, (len(tables.tables), tables.expected_recall)
+    assert min(found.values()) >= 0.9 * len(items), (len(tables.tables), found)
+
+
+def best_distance(item, words):
+    """Least edits between the item and any stretch of the words."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in words:
+        new = [0]
+        for j, x in enumerate(item, 1):
+            new.append(min(row[j - 1] + (w != x), row[j] + 1, new[-1] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_leaks_equal_all_windows(spark):
+    """Every item against every document by full alignment: edits around the limit, short items, ties, nulls, clashing names."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(60)]
+    items = [(i, [rng.choice(pool) for _ in range(rng.choice([1, 2, 4, 7, 8, 9, 14, 25, 40, 70]))]) for i in range(40)]
+    items += [(100, list(items[20][1])), (None, [rng.choice(pool) for _ in range(30)])]
+    docs = []
+    for n in range(120):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, len(w) // 4 + 1)):
+            at, how = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[at : at + (how != 2)] = [rng.choice([*pool, "é9", "other"])] if how else []
+        docs.append((n if n % 10 else None, " ".join([*rng.choices(pool, k=rng.randint(0, 20)), *w, *rng.choices(pool, k=rng.randint(0, 20))]), "x", 1))
+    docs += [(500, None, None, None), (501, "", "x", 2), (502, "é " * 50_000 + " ".join(items[-1][1]), "x", 3), docs[3]]
+    limit = lambda w: len(w) // 5 if len(w) >= 8 else 0
+    want = {(d, i, best_distance(w, t.split())) for d, t, _, _ in docs if t for i, w in items if len(t) < 5000 and best_distance(w, t.split()) <= limit(w)}
+    want |= {(502, i, 0) for i, w in items if i is None or " ".join(w) in " ".join(items[-1][1]).split(" ") or f" {' '.join(w)} " in f" {' '.join(items[-1][1])} "}
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, edits string, item_id int")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(700, None), (701, " .,")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(d, b).collect()}
+    near = {x for x in got if x[0] == 502 and x[2]}  # edited places in the long text, not searched by hand
+    assert got - near == want
+    left = decontaminate.clean(d, b)
+    assert left.columns == d.columns
+    found = {(d_, t) for d_, t, _, _ in docs if t and len(t) < 5000 and any(best_distance(w, t.split()) <= limit(w) for _, w in items)}
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(d_, t) for d_, t, _, _ in docs if d_ != 502} - found
 
 
 def test_leetspeak_reaches_the_decoder():
     words = ["idiot", "worthless", "people", "that", "said", "there", "letter", "house", "water", "river", "other", "this", "and", "then"]
     text = " ".join(random.Random(2).choices(words, k=4000)) + " 2024 455 1000"
-    s = toxicity._BYTE_SYMBOL[toxicity.np.frombuffer(text.encode(), "uint8")].astype(int)
+    s = toxicity.symbols_of(text)
     n = toxicity.SYMBOLS
     counts = toxicity.np.bincount(s[:-2] * n * n + s[1:-1] * n + s[2:], minlength=n**3)
     restore = toxicity.Restorer(toxicity.log_model(counts))
