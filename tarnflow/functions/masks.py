@@ -5,6 +5,8 @@ Every function takes the column and its parameters. Digits are ASCII digits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +22,21 @@ def mask_email(c: Column, min_local_part: int = 5, min_domain_part: int = 5, kee
             raise TypeError(f"{name} must be an integer")
     if not isinstance(keep_domain, bool):
         raise TypeError("keep_domain must be a boolean")
-    local, domain = (F.regexp_extract(c, "(?s)^(.*)@([^@]*)$", i) for i in (1, 2))
+    domain = F.substring_index(c, "@", -1)
+    local = F.left(c, F.length(c) - F.length(domain) - 1)
     n, d = F.length(local), F.length(domain)
     hidden = F.when(n <= min_local_part, stars(n)).otherwise(F.concat(F.left(local, F.lit(2)), stars(n - 4), F.right(local, F.lit(2))))
     shown = F.when(d <= min_domain_part, stars(d)).otherwise(domain) if keep_domain else stars(d)
     return F.when(F.contains(c, F.lit("@")), F.concat(hidden, F.lit("@"), shown)).otherwise(F.lit("***@***.com"))
 
 
+def count_digits(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, "0123456789", ""))
+
+
 def mask_digits(c: Column, keep: int, empty: str) -> Column:
     """All digits but the last ``keep``; other characters stay. Too few digits: all characters."""
-    digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
+    digits = count_digits(c)
     hidden = F.regexp_replace(c, f"[0-9](?=(?:[^0-9]*[0-9]){{{keep}}})", "*")
     return F.when(c == "", F.lit(empty)).when(digits < keep, stars(F.length(c))).otherwise(hidden)
 
@@ -90,19 +97,28 @@ def mask_generic(c: Column, keep_first: int = 3, keep_last: int = 3) -> Column:
     return F.when(n <= keep_first + keep_last, stars(n)).otherwise(shown)
 
 
+def format_tests(c: Column) -> list[tuple[str, Column]]:
+    """The kinds of value that can be told from the text alone, each with its test; the first that holds names the kind."""
+    t = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    digits = count_digits(t)
+    return [
+        ("EMAIL_ADDRESS", F.contains(t, F.lit("@")) & F.contains(F.substring_index(t, "@", -1), F.lit("."))),
+        ("IP_ADDRESS", t.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$")),
+        ("US_SSN", t.rlike("^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$")),
+        ("CREDIT_CARD", digits == 16),
+        ("PHONE_NUMBER", (digits >= 7) & (t.rlike("[-()+ ]") | (digits >= 10))),
+        ("IBAN_CODE", (F.length(t) > 15) & t.rlike("^[A-Za-z]{2}[A-Za-z0-9]+$")),
+    ]
+
+
+def first_of(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first case that holds; each test stands in the plan once."""
+    return reduce(lambda out, case: out.when(*case), cases[1:], F.when(*cases[0])).otherwise(otherwise)
+
+
 def detect_format(c: Column) -> Column:
     """The kind of value that the text looks like, first match wins."""
-    t = F.regexp_replace(c, "^\\s+|\\s+$", "")
-    digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
-    return (
-        F.when(t.rlike("(?s)@[^@]*\\.[^@]*$"), F.lit("EMAIL_ADDRESS"))
-        .when(t.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"), F.lit("IP_ADDRESS"))
-        .when(t.rlike("^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$"), F.lit("US_SSN"))
-        .when(digits == 16, F.lit("CREDIT_CARD"))
-        .when((digits >= 7) & (t.rlike("[-()+ ]") | (digits >= 10)), F.lit("PHONE_NUMBER"))
-        .when((F.length(t) > 15) & t.rlike("^[A-Za-z]{2}[A-Za-z0-9]+$"), F.lit("IBAN_CODE"))
-        .otherwise(F.lit("GENERIC"))
-    )
+    return first_of([(test, F.lit(kind)) for kind, test in format_tests(c)], F.lit("GENERIC"))
 
 
 #: Which mask a kind of value gets.
@@ -120,20 +136,13 @@ MASK_OF = {
     "CA_SIN": mask_sin,
     "CA_TIN": mask_tin,
 }
-#: The kinds that can be told from the text alone.
-DETECTED = ("EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN", "CREDIT_CARD", "PHONE_NUMBER", "IBAN_CODE")
 
 
 def choose(c: Column, entity_type: str | None, by_kind: dict, fallback: Column) -> Column:
     """The function of the given kind, or of the kind that each value looks like."""
     if entity_type is not None:
         return by_kind[entity_type](c) if entity_type in by_kind else fallback
-    kind, out = detect_format(c), None
-    for name in DETECTED:
-        if name in by_kind:
-            hit = (kind == name, by_kind[name](c))
-            out = F.when(*hit) if out is None else out.when(*hit)
-    return out.otherwise(fallback)
+    return first_of([(test, by_kind[kind](c) if kind in by_kind else fallback) for kind, test in format_tests(c)], fallback)
 
 
 def smart_mask(c: Column, entity_type: str | None = None, keep_first: int = 3, keep_last: int = 3) -> Column:

@@ -114,8 +114,12 @@ def register(name: str, function: Callable[..., Column]) -> None:
     OPERATORS[name] = function
 
 
-def operator(name: str, params: dict | None = None) -> Callable[[Column], Column]:
-    """The operator of that name with its parameters bound; ValueError if either is unknown."""
+def operator(name: str, params: dict | None = None, salt: str | None = None) -> Callable[[Column], Column]:
+    """The operator of that name with its parameters bound; ValueError if either is unknown.
+
+    Made-up values and digests that are given no salt use ``salt``, or draw one:
+    without it nobody can find a value by trying all of them.
+    """
     name = ALIASES.get(name, name)
     if name not in OPERATORS:
         raise ValueError(f"unknown anonymization operator {name!r}")
@@ -128,6 +132,8 @@ def operator(name: str, params: dict | None = None) -> Callable[[Column], Column
     needed = [p for p, d in list(accepted.items())[1:] if d.default is inspect.Parameter.empty and p not in params]
     if needed:
         raise ValueError(f"{name} needs {', '.join(needed)}")
+    if "salt" in accepted and params.get("salt") is None:
+        params["salt"] = salt if salt is not None else secrets.token_hex(16)
     return lambda c: f(c, **params)
 
 
@@ -143,12 +149,25 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     return F.initcap(c.cast("string")) if isinstance(kind, T.BooleanType) else c.cast("string")
 
 
+def text_kind(kind: T.DataType) -> T.DataType:
+    """The type with text in place of every value."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(text_kind(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, text_kind(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, text_kind(kind.valueType))
+    return T.StringType()
+
+
 def anonymized(c: Column, kind: T.DataType, apply: Callable[[Column], Column]) -> Column:
-    """``apply`` on a column of any type but a struct."""
+    """``apply`` on every value of a column of any type: elements, fields of documents, values of maps."""
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda e: anonymized(e, kind.elementType, apply))
-    if isinstance(kind, (T.StructType, T.MapType)):
-        return c
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(anonymized(c.getField(f.name), f.dataType, apply).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: anonymized(v, kind.valueType, apply))
     text = as_text(c, kind)
     return F.when(text.rlike("^\\s*$"), text).when(text.isNotNull(), apply(text))
 

@@ -52,13 +52,13 @@ def typed_ids(kind: T.DataType, ids: list) -> list:
 
 
 def key_values(df: DataFrame, path: str, name: str = "__key") -> DataFrame:
-    """The distinct non-null values of a field; elements of an array count each."""
+    """The non-null values of a field, for a semi-join; elements of an array count each."""
     found = resolve(df.schema, path)
     if found is None:
         raise ValueError(f"no field {path!r}")
     c, kind = found
     rows = df.select((F.explode(c) if isinstance(kind, T.ArrayType) else c).alias(name))
-    return rows.where(F.col(name).isNotNull()).distinct()
+    return rows.where(F.col(name).isNotNull())
 
 
 def related(parent: DataFrame, child: DataFrame, parent_field: str, child_field: str) -> DataFrame:
@@ -68,7 +68,11 @@ def related(parent: DataFrame, child: DataFrame, parent_field: str, child_field:
         raise ValueError(f"no field {child_field!r}")
     keys = key_values(parent, parent_field)
     if isinstance(kind, T.ArrayType):
-        return child.join(keys, F.array_contains(c, F.col("__key")), "left_semi")
+        # each element is a reference of its own, so that the join is by equal keys; a row met twice comes once
+        # (the rows are numbered before they are exploded)
+        numbered = child.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__id"), F.array_distinct(c).alias("__refs"))
+        each = numbered.select("__row", "__id", F.explode("__refs").alias("__ref"))
+        return each.join(keys, F.col("__ref") == F.col("__key"), "left_semi").dropDuplicates(["__id"]).select("__row.*")
     return child.join(keys, c == F.col("__key"), "left_semi")
 
 

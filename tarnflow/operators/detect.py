@@ -10,12 +10,13 @@ wrap a pandas UDF.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnflow.functions.regex import java_pattern
 from tarnflow.operators.paths import matches, quoted
 
 
@@ -69,20 +70,27 @@ def iban_check(c: Column) -> Column:
     return F.aggregate(chars, F.lit(0), step) == 1
 
 
-#: The recognizers, best first among equal scores. Scores of national numbers and the context
-#: words are fixed values of the detection's configuration format.
+#: What the names of fields and the text around a number call it.
+SAYS_SSN = ("ssn", "ss#", "social security", "taxpayer id")
+SAYS_SIN = ("sin", "nas", "social insurance", "assurance sociale")
+SAYS_TAX = ("tin", "bn", "tax id", "tax number", "business number", "gst", "hst")
+SAYS_US_BANK = ("account", "acct", "routing", "aba", "deposit", "bank")
+SAYS_CA_BANK = ("transit", "institution", "bank", "account")
+SAYS_PHONE = ("phone", "telephone", "tel", "mobile", "cell", "fax", "call")
+
+#: The recognizers, best first among equal scores. Scores and patterns of national numbers are fixed values.
 RECOGNIZERS: list[Recognizer] = [
     Recognizer("EMAIL_ADDRESS", (("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}", 1.0),)),
     Recognizer("CREDIT_CARD", (("(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-])", 1.0), ("(?<![0-9-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9-])", 1.0)), luhn),
     Recognizer("IBAN_CODE", (("(?<![A-Z0-9])[A-Z]{2}[0-9]{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{0,4}(?![A-Z0-9])", 1.0),), iban_check),
     Recognizer("IP_ADDRESS", (("(?<![0-9.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9.])", 0.95),), octets),
     Recognizer("URL", (("https?://[^\\s\"'<>]+", 0.9), ("(?<![\\w@.])www\\.[A-Za-z0-9-]+\\.[A-Za-z]{2,}[^\\s\"'<>]*", 0.85))),
-    Recognizer("US_SSN", (("(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.9),), context=("ssn", "social security", "ss#")),
-    Recognizer("CA_SIN", (("\\b[0-9]{3}-[0-9]{3}-[0-9]{3}\\b", 0.8), ("\\b[0-9]{9}\\b", 0.6)), context=("sin", "social insurance", "assurance sociale", "nas")),
-    Recognizer("CA_TIN", (("\\b[0-9]{9}(RC|RM|RP|RT)[0-9]{4}\\b", 0.9), ("\\b[0-9]{5}-[0-9]{4}\\b", 0.6), ("\\b[0-9]{9}\\b", 0.5)), context=("tin", "tax id", "business number", "bn", "gst", "hst", "payroll")),
-    Recognizer("US_BANK_ACCOUNT", (("\\b[0-9]{8,17}\\b", 0.5),), context=("routing", "account", "checking", "savings", "aba", "ach", "wire", "direct deposit")),
-    Recognizer("CA_BANK_ACCOUNT", (("\\b[0-9]{5}-[0-9]{3}-[0-9]{7,12}\\b", 0.9),), context=("transit", "institution", "account", "bank")),
-    Recognizer("PHONE_NUMBER", (("(?<![0-9+(-])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", 0.9),), context=("phone", "telephone", "cell", "mobile", "call", "tel", "fax")),
+    Recognizer("US_SSN", (("(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.9),), context=SAYS_SSN),
+    Recognizer("CA_SIN", (("\\b[0-9]{3}-[0-9]{3}-[0-9]{3}\\b", 0.8), ("\\b[0-9]{9}\\b", 0.6)), context=SAYS_SIN),
+    Recognizer("CA_TIN", (("\\b[0-9]{9}(RC|RM|RP|RT)[0-9]{4}\\b", 0.9), ("\\b[0-9]{5}-[0-9]{4}\\b", 0.6), ("\\b[0-9]{9}\\b", 0.5)), context=SAYS_TAX),
+    Recognizer("US_BANK_ACCOUNT", (("\\b[0-9]{8,17}\\b", 0.5),), context=SAYS_US_BANK),
+    Recognizer("CA_BANK_ACCOUNT", (("\\b[0-9]{5}-[0-9]{3}-[0-9]{7,12}\\b", 0.9),), context=SAYS_CA_BANK),
+    Recognizer("PHONE_NUMBER", (("(?<![0-9+(-])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", 0.9),), context=SAYS_PHONE),
 ]
 
 
@@ -90,6 +98,45 @@ def register_recognizer(r: Recognizer) -> None:
     RECOGNIZERS.append(r)
 
 
+#: Checks that a configured recognizer may name.
+VALIDATORS = {"luhn": luhn, "octets": octets, "iban": iban_check}
+
+
+def recognizers_of(config: dict) -> list[Recognizer]:
+    """Recognizers as a YAML configuration lists them, by the entity that each supports.
+
+    An entry without patterns, deny list or validator of its own takes those of
+    the built-in recognizer of its entity; its context words come on top.
+    """
+    entries = (config.get("recognizer_registry") or {}).get("recognizers") or []
+    own = {r.entity: r for r in RECOGNIZERS}
+    out = []
+    for e in entries:
+        entity = e.get("supported_entity")
+        if not entity:
+            raise ValueError(f"recognizer {e.get('name')!r} names no supported_entity")
+        patterns = tuple((java_pattern(p["regex"]), float(p["score"])) for p in e.get("patterns") or ())
+        deny, validator, context = tuple(e.get("deny_list") or ()), e.get("validator"), tuple(e.get("context") or ())
+        if validator is not None and validator not in VALIDATORS:
+            raise ValueError(f"unknown validator {validator!r}")
+        base = own.get(entity)
+        if not patterns and not deny:
+            if base is None:
+                raise ValueError(f"recognizer {e.get('name')!r} has neither patterns nor a deny list, and {entity} is not built in")
+            out.append(replace(base, context=(*base.context, *(w for w in context if w not in base.context))))
+        else:
+            out.append(Recognizer(entity, patterns, VALIDATORS.get(validator), context, deny))
+    return out
+
+
+def load_recognizers(path: str) -> list[Recognizer]:
+    """The recognizers of a YAML file."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return recognizers_of(yaml.safe_load(f) or {})
+
+
 def long_form(df: DataFrame, key: Column, allow: tuple[str, ...] = ()) -> DataFrame:
     """doc, path, pos, value of every string in the documents; allowed paths are left out.
 
@@ -129,8 +176,10 @@ def best_entity(values: DataFrame, entities: list[str] | None = None, threshold:
         return values.limit(0).withColumn("entity", F.lit("")).withColumn("score", F.lit(0.0))
     path = F.col("path") if "path" in values.columns else None
     scored = F.array(*(F.struct(r.score(F.col("value"), path).alias("score"), F.lit(-i).alias("order"), F.lit(r.entity).alias("entity")) for i, r in enumerate(table)))
-    best = values.withColumn("b", F.array_max(scored))
-    return best.where(F.col("b.score") >= threshold).where(F.col("b.score") > 0).select(*values.columns, F.col("b.entity").alias("entity"), F.col("b.score").alias("score"))
+    enough = F.filter(F.array(F.array_max(scored)), lambda b: (b["score"] >= threshold) & (b["score"] > 0))
+    # a generator is no expression that a filter could be pushed through: every recognizer runs once a value
+    best = values.select("*", F.explode(enough).alias("b"))
+    return best.select(*values.columns, F.col("b.entity").alias("entity"), F.col("b.score").alias("score"))
 
 
 def field_statistics(found: DataFrame, total: int | Column, least_prevalence: float = 0.10) -> DataFrame:

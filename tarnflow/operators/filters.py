@@ -12,6 +12,7 @@ only; others do not match.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,9 +41,11 @@ def resolve(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | None
     """Value and type at a path. Arrays of documents give the array of their values."""
     first, *rest = path.split(".")
     f = field_of(schema, first)
-    if f is None:
-        return None
-    c, kind = quoted(first), f.dataType
+    return descend(quoted(first), f.dataType, rest) if f else None
+
+
+def descend(c: Column, kind: T.DataType, rest: list[str]) -> tuple[Column, T.DataType] | None:
+    """The same below a value."""
     for part in rest:
         depth = 0
         inner = kind
@@ -67,7 +70,7 @@ def _getter(name: str):
 def comparable(kind: T.DataType, value) -> bool:
     if isinstance(value, bool):
         return isinstance(kind, T.BooleanType)
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, decimal.Decimal)):
         return isinstance(kind, T.NumericType)
     if isinstance(value, (dt.datetime, dt.date)):
         return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
@@ -198,8 +201,9 @@ def _inside(spec: dict, kind: T.StructType, e: Column) -> Column:
         if key in ("$and", "$or", "$nor"):
             parts.append(combine(key, [_inside(x, kind, e) for x in v]))
         else:
-            f = field_of(kind, key)
-            parts.append(predicate((e.getField(key), f.dataType) if f else None, v))
+            first, *rest = key.split(".")
+            f = field_of(kind, first)
+            parts.append(predicate(descend(e.getField(first), f.dataType, rest) if f else None, v))
     return both(parts)
 
 

@@ -85,11 +85,42 @@ def matches(path: str, pattern: str) -> bool:
     return re.search(wildcard_regex(pattern), path) is not None
 
 
+def reaches(kind: T.DataType, path: str) -> bool:
+    """Whether a path leads to something, through documents, arrays and maps (of any keys)."""
+    for part in path.split("."):
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        if isinstance(kind, T.MapType):
+            kind = kind.valueType
+            continue
+        f = field_of(kind, part)
+        if f is None:
+            return False
+        kind = f.dataType
+    return True
+
+
 def expand(schema: T.StructType, pattern: str) -> list[str]:
-    """The leaves that a field pattern names; a plain path names itself."""
+    """The leaves that a field pattern names; a plain path names itself, if it leads to something.
+
+    A map is a leaf: a pattern that names its entries names all of them.
+    """
     if "*" not in pattern:
-        return [pattern]
-    return [p for p in leaves(schema) if matches(p, pattern)]
+        return [pattern] if reaches(schema, pattern) else []
+    return [p for p in leaves(schema) if matches(p, pattern) or matches(p + ".*", pattern) and isinstance(kind_of(schema, p), T.MapType)]
+
+
+def kind_of(schema: T.StructType, path: str) -> T.DataType | None:
+    """The type at a path, of the elements where it passes through or ends at arrays."""
+    kind: T.DataType = schema
+    for part in path.split("."):
+        f = field_of(kind, part)
+        if f is None:
+            return None
+        kind = f.dataType
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+    return kind
 
 
 def normalize(path: Column) -> Column:
@@ -133,14 +164,20 @@ def without(c: Column, kind: T.DataType, rest: list[str]) -> Column | None:
     return F.when(c.isNotNull(), struct_of(parts)) if parts else None
 
 
-def mapped(c: Column, kind: T.DataType, rest: list[str], change: Callable[[Column, T.DataType], Column]) -> Column:
-    """``c`` with ``change`` at ``rest``, through documents and arrays."""
+def mapped(c: Column, kind: T.DataType, rest: list[str], change: Callable[[Column, T.DataType], Column], entry: Callable[[Column, T.DataType, list[str]], Column] | None = None) -> Column:
+    """``c`` with ``change`` at ``rest``, through documents and arrays.
+
+    With ``entry`` it goes through maps as well; ``entry`` gives the other
+    entries' values the type that ``change`` makes.
+    """
     if isinstance(kind, T.ArrayType) and (rest or isinstance(kind.elementType, (T.ArrayType, T.StructType))):
-        return F.transform(c, lambda e: mapped(e, kind.elementType, rest, change))
+        return F.transform(c, lambda e: mapped(e, kind.elementType, rest, change, entry))
     if not rest:
         return change(c, kind)
+    if isinstance(kind, T.MapType) and entry is not None:
+        return F.transform_values(c, lambda k, v: F.when(k == rest[0], mapped(v, kind.valueType, rest[1:], change, entry)).otherwise(entry(v, kind.valueType, rest[1:])))
     f = field_of(kind, rest[0])
     if f is None:
         return c
-    parts = [(g.name, mapped(c.getField(g.name), g.dataType, rest[1:], change) if g.name == f.name else c.getField(g.name)) for g in kind.fields]
+    parts = [(g.name, mapped(c.getField(g.name), g.dataType, rest[1:], change, entry) if g.name == f.name else c.getField(g.name)) for g in kind.fields]
     return F.when(c.isNotNull(), struct_of(parts))

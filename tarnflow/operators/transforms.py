@@ -4,12 +4,15 @@
 transformed rows. A step may fail on a row (adding a field that has a value,
 renaming onto one, writing below a value that is no document). In ``skip`` mode
 such a row keeps its original fields through the field steps; in ``fail`` mode
-the query raises. Counts of what each step did come from an ``Observation`` of
+the query raises, whatever columns are read. Anonymization of a field that no
+document can have is an error when the plan is made, unless the step says
+``optional``: a misspelt field does not pass in the clear. Counts of what each step did come from an ``Observation`` of
 the same pass.
 """
 
 from __future__ import annotations
 
+import secrets
 import uuid
 from dataclasses import dataclass
 
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.functions.regex import java_pattern, java_replacement
-from tarnflow.operators.anonymize import anonymized, operator
+from tarnflow.operators.anonymize import anonymized, operator, text_kind
 from tarnflow.operators.conditions import ConditionTypeError, condition
 from tarnflow.operators.paths import expand, mapped, put, quoted, type_at, value_at, without
 from tarnflow.operators.templates import rendered
@@ -78,6 +81,8 @@ class Pipeline:
         # anonymization comes after all other steps, wherever it stands
         self.ordered = [s for s in self.steps if s["type"] != "anonymize"] + [s for s in self.steps if s["type"] == "anonymize"]
         self.error_mode = error_mode
+        # one for all steps, so that equal values stay equal across fields; it is not kept
+        self.salt = secrets.token_hex(16)
 
     def apply(self, df: DataFrame) -> Result:
         source = df
@@ -206,9 +211,9 @@ class Pipeline:
         schema = visible(df.schema)
         own = [quoted(c) for c in df.columns if c.startswith("__") and not c.startswith(ORIGINAL)]
         if self.error_mode == "fail":
-            stop = F.raise_error(F.lit("a transform failed on a document"))
-            fields = [F.when(F.col(FAILED), stop.cast(f.dataType)).otherwise(quoted(f.name)).alias(f.name) if i == 0 else quoted(f.name) for i, f in enumerate(schema.fields)]
-            return df.select(*fields, *own)
+            # as a filter it stays whatever columns are read
+            df = df.where(F.assert_true(~F.col(FAILED), "a transform failed on a document").isNull())
+            return df.select(*(quoted(f.name) for f in schema.fields), *own)
         out = []
         for f in schema.fields:
             if f.name in source.columns:
@@ -221,27 +226,31 @@ class Pipeline:
 
     def _anonymize(self, df: DataFrame, i: int, step: dict) -> DataFrame:
         schema = visible(df.schema)
-        f = operator(step["operator"], step.get("params"))
+        f = operator(step["operator"], step.get("params"), self.salt)
         when = condition(schema, step["condition"]) if step.get("condition") else None
         on = F.lit(True) if when is None else when
         changes: dict[str, Column] = {}
-        for path in expand(schema, step["field"]):
+        paths = expand(schema, step["field"])
+        if not paths:
+            if not step.get("optional"):
+                raise TransformError(f"no field {step['field']!r} to anonymize; say optional if documents may lack it")
+            return df.select("*", F.lit(0).alias(f"__applied_{i}"), F.lit(0).alias(f"__skipped_{i}"))
+        for path in paths:
             first, *rest = path.split(".")
-            if first not in schema.fieldNames():
-                continue
             c = changes.get(first, quoted(first))
 
             def change(x: Column, k: T.DataType) -> Column:
                 hidden = anonymized(x, k, f)
-                if when is None or isinstance(k, T.StructType):
-                    return hidden
-                return F.when(on, hidden).otherwise(x.cast("array<string>") if isinstance(k, T.ArrayType) else x.cast("string"))
+                return hidden if when is None else F.when(on, hidden).otherwise(x.cast(text_kind(k)))
+
+            def entry(x: Column, k: T.DataType, below: list[str]) -> Column:
+                return mapped(x, k, below, lambda v, vk: v.cast(text_kind(vk)), entry)
 
             if first in changes:  # several leaves of one column: the type has changed below
                 df = df.withColumn(first, c)
                 schema = visible(df.schema)
                 c = quoted(first)
-            changes[first] = mapped(c, schema[first].dataType, rest, change)
+            changes[first] = mapped(c, schema[first].dataType, rest, change, entry)
         out = [changes[c].alias(c) if c in changes else quoted(c) for c in df.columns]
         return df.select(*out, on.cast("int").alias(f"__applied_{i}"), (~on).cast("int").alias(f"__skipped_{i}"))
 

@@ -17,6 +17,9 @@ ORACLES: dict[str, str] = {}
 def masked(name: str, column: str, operator: str, expr: str, params: dict | None = None) -> None:
     """Register ``operator`` on ``column``; ``expr`` is the SQL over ``v`` for values that are not blank."""
 
+    if "fake" in operator:  # without a salt each plan would draw its own
+        params = {**(params or {}), "salt": ""}
+
     def query(spark, sf_dir):
         step = {"type": "anonymize", "field": column, "operator": operator, "params": params}
         return Pipeline([step]).apply(people(spark, sf_dir, column)).df.withColumnRenamed(column, "masked")
@@ -178,16 +181,18 @@ TWENTY = [("mask_email", "email"), ("mask_phone", "phone"), ("mask_credit_card",
 
 
 def twenty_masks(spark, sf_dir):
+    return twenty_of(people(spark, sf_dir, *(c for _, c in TWENTY)))
+
+
+def twenty_of(df):
+    """Twenty masks in one projection over rows of ``people``."""
     names = [c for _, c in TWENTY]
-    df = people(spark, sf_dir, *names)
     df = df.select("c_custkey", *names, *(F.col(c).alias(f"{c}_2") for c in names))
     steps = [{"type": "anonymize", "field": f"{c}{s}", "operator": o} for s in ("", "_2") for o, c in TWENTY]
     out = Pipeline(steps).apply(df).df
     return out.select("c_custkey", F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("-")) for c in out.columns if c != "c_custkey")).cast("binary"), 256).alias("digest"))
 
 
-
-
 def _twenty_sql() -> str:
     exprs = {"email": email("email"), "phone": last_digits(4, "", "phone"), "card": last_digits(4, "", "card"), "ssn": last_digits(4, "", "ssn"), "sin": last_digits(3, "", "sin"), "tin": last_digits(4, "", "tin")}
     exprs |= {c: f"(SELECT {e} FROM (SELECT {c} AS v))" for c, e in (("ip", IP), ("iban", IBAN), ("person", PERSON), ("place", PLACE))}

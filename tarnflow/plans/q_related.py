@@ -91,6 +91,8 @@ ORACLES["flagship"] = (
 
 def scratch(spark) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root}/{spark.sparkContext.applicationId}/sink-{dt.datetime.now().timestamp()}" if root else tempfile.mkdtemp(prefix="tarnflow-sink-")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 import time
 from collections.abc import Callable
@@ -21,7 +20,7 @@ from tarnflow.plans.config import CollectionConfig, Config
 from tarnflow.sources.catalog import FolderCatalog, check_apart, discover
 from tarnflow.sources.indexes import replicate
 from tarnflow.sources.sinks import write
-from tarnflow.sources.state import StateStore
+from tarnflow.sources.state import StateStore, cursor_text
 
 Progress = Callable[[str, str, dict], None]
 
@@ -177,7 +176,7 @@ class Runner:
             statistics = result.statistics()
             got = seen.get
             if got["n"] or disposition == "replace" or not self.destination.has(name):
-                write(staged, self.destination.path(name), disposition, config.primary_key, config.cursor_field, self.destination.format)
+                write(staged, self.destination.path(name), disposition, config.primary_key, cursor or None, self.destination.format)
         finally:
             from tarnflow.sources.catalog import filesystem
 
@@ -188,7 +187,7 @@ class Runner:
             *_, errors = replicate(self.spark, self.destination.load(name), config.indexes)
         last = got.get("last") if position else None
         kind = position[1].simpleString() if position else None
-        where = (last.isoformat() if isinstance(last, (dt.date, dt.datetime)) else str(last), kind, cursor) if last is not None else None
+        where = (cursor_text(last, kind), kind, cursor) if last is not None else None
         return Outcome(name, "completed", got["n"], statistics=statistics, cursor=where, index_errors=errors)
 
 

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators.filters import resolve
 from tarnflow.sources.catalog import exists, filesystem
 
 DISPOSITIONS = ("merge", "append", "replace")
@@ -25,14 +26,19 @@ class DuplicateKeyError(ValueError):
 
 
 def latest(rows: DataFrame, key: str, cursor: str | None = None) -> DataFrame:
-    """One row a key: that with the greatest cursor (the rest of the row breaks ties)."""
-    order = [F.col(cursor).desc_nulls_last()] if cursor and cursor in rows.columns else []
+    """One row a key: that with the greatest cursor, which may be a path (the rest of the row breaks ties)."""
+    found = resolve(rows.schema, cursor) if cursor else None
+    order = [found[0].desc_nulls_last()] if found else []
+    rows = rows.where(F.assert_true(F.col(key).isNotNull(), f"a row to merge has no {key}").isNull())
     w = Window.partitionBy(key).orderBy(*order, F.xxhash64(*rows.columns))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def merged(target: DataFrame, rows: DataFrame, key: str, cursor: str | None = None) -> DataFrame:
-    """``target`` with ``rows`` in place of or beside its own, whole documents by key."""
+    """``target`` with ``rows`` in place of or beside its own, whole documents by key.
+
+    A row without a key is an error: merged twice, it would be there twice.
+    """
     new = latest(rows, key, cursor)
     return target.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 

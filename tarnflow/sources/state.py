@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import threading
 import uuid
 
@@ -28,6 +29,24 @@ def latest_by(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
+def cursor_text(value, kind: str = "") -> str:
+    """A position as text that reads the same on any machine: instants in UTC."""
+    if kind == "timestamp" and isinstance(value, dt.datetime) and value.tzinfo is None:
+        value = value.astimezone(dt.timezone.utc)  # Spark hands out instants in the machine's zone
+    return value.isoformat() if isinstance(value, (dt.date, dt.datetime)) else str(value)
+
+
+def cursor_value(text: str, kind: str):
+    """The position that ``cursor_text`` wrote, as a value of the cursor's type."""
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return dt.datetime.fromisoformat(text)
+    if kind.startswith("decimal"):
+        return decimal.Decimal(text)
+    if kind in ("double", "float"):
+        return float(text)
+    return int(text) if kind in ("bigint", "int", "smallint", "tinyint") else text
+
+
 def last_cursor(state: DataFrame, by: str = "collection") -> DataFrame:
     """collection, last_cursor: the newest completed position of each collection."""
     done = state.where("status = 'completed' and lastCursorValue is not null")
@@ -142,10 +161,7 @@ class StateStore:
         row = done.orderBy(F.desc("endedAt"), F.desc("seq")).first()
         if row is None:
             return None
-        kind = row.lastCursorType or "string"
-        if kind in ("timestamp", "timestamp_ntz", "date"):
-            return dt.datetime.fromisoformat(row.lastCursorValue)
-        return float(row.lastCursorValue) if kind in ("double", "float") or kind.startswith("decimal") else int(row.lastCursorValue) if kind in ("bigint", "int", "smallint", "tinyint") else row.lastCursorValue
+        return cursor_value(row.lastCursorValue, row.lastCursorType or "string")
 
     def running_collections(self) -> DataFrame:
         return self.collections().where("status = 'running'")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -213,3 +214,48 @@ def test_command_line(spark, shop, tmp_path, capsys):
     assert cli.main(["run", "--source", shop.root, "--destination", out, "--config", config, "--collections", "customers"], spark) == 0
     assert FolderCatalog(spark, out).load("customers").count() == 6
     assert cli.main(["run", "--source", shop.root, "--destination", shop.root], spark) == 2
+
+
+def test_merge_refuses_rows_without_a_key_and_takes_the_newest(spark):
+    from tarnflow.sources.sinks import latest, merged
+
+    rows = spark.createDataFrame([(k, (v,)) for k in range(50) for v in random.Random(k).sample(range(9), 9)], "k int, meta struct<at:int>")
+    assert {r.meta.at for r in latest(rows, "k", "meta.at").collect()} == {8}
+    with pytest.raises(Exception, match="no k"):
+        merged(rows, rows.unionByName(spark.createDataFrame([(None, (1,))], rows.schema)), "k").collect()
+
+
+def test_streams_append_once_and_refuse_replace(spark, tmp_path):
+    from tarnflow.streaming.incremental import load_stream
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    df = spark.range(5).selectExpr("id AS k", "id * 2 AS v")
+    df.write.parquet(src)
+    load_stream(spark, src, df.schema, out, str(tmp_path / "c1"), key="k", disposition="append")
+    # a checkpoint lost after the write: the batch runs again
+    load_stream(spark, src, df.schema, out, str(tmp_path / "c2"), key="k", disposition="append")
+    assert spark.read.parquet(out).count() == 5
+    with pytest.raises(ValueError, match="merges or appends"):
+        load_stream(spark, src, df.schema, out, str(tmp_path / "c3"), key="k", disposition="replace")
+
+
+def test_cursors_keep_their_type():
+    import datetime as dt
+    import decimal
+
+    from tarnflow.sources.state import cursor_text, cursor_value
+
+    for value, kind in ((decimal.Decimal("12345678901234567.89"), "decimal(20,2)"), (7, "bigint"), (0.5, "double"), ("x", "string"), (dt.datetime(2024, 1, 2, 3), "timestamp_ntz")):
+        assert cursor_value(cursor_text(value, kind), kind) == value
+    local = dt.datetime(2024, 1, 2, 3)
+    assert cursor_value(cursor_text(local, "timestamp"), "timestamp") == local.astimezone(dt.timezone.utc)
+    assert cursor_text(local, "timestamp").endswith("+00:00")
+
+
+def test_array_references_join_by_key(spark):
+    from tarnflow.operators.cascade import related
+
+    child = spark.createDataFrame([(1, [1, 2, 2]), (2, [9]), (3, None), (4, [2, 1]), (4, [2, 1])], "c int, refs array<int>")
+    out = related(spark.createDataFrame([(1,), (2,), (2,)], "k int"), child, "k", "refs")
+    assert sorted(r.c for r in out.collect()) == [1, 4, 4]
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()

@@ -86,3 +86,25 @@ def test_regex_dialect():
 def test_single_values(spark):
     assert A.anonymize_text(spark, "John Smith", "smart_mask", "PERSON") == "J*** S****"
     assert A.anonymize_text(spark, " ", "redact") == " " and A.anonymize_text(spark, None, "redact") is None
+
+
+def test_recognizers_from_configuration(spark):
+    from tarnflow.operators.detect import best_entity, recognizers_of
+
+    config = {
+        "recognizer_registry": {
+            "recognizers": [
+                {"name": "Badge", "supported_entity": "BADGE", "patterns": [{"name": "b", "regex": r"\bB-\d{4}\b", "score": 0.5}], "context": ["badge"]},
+                {"name": "Codename", "supported_entity": "CODENAME", "deny_list": ["Blue Heron"]},
+                {"name": "Phones", "supported_entity": "PHONE_NUMBER", "context": ["ring me"]},
+                {"name": "Own card", "supported_entity": "CREDIT_CARD", "patterns": [{"regex": "[0-9]{16}", "score": 0.9}], "validator": "luhn"},
+            ]
+        }
+    }
+    table = recognizers_of(config)
+    rows = [("badge B-1234",), ("B-1234",), ("the Blue Heron plan",), ("4242424242424242",), ("4242424242424243",), ("555-123-4567",)]
+    got = {r.value: r.entity for r in best_entity(spark.createDataFrame(rows, "value string"), recognizers=table).collect()}
+    assert got == {"badge B-1234": "BADGE", "the Blue Heron plan": "CODENAME", "4242424242424242": "CREDIT_CARD", "555-123-4567": "PHONE_NUMBER"}
+    for bad in ({"name": "x"}, {"supported_entity": "NEW"}, {"supported_entity": "NEW", "patterns": [{"regex": "a", "score": 1}], "validator": "no"}):
+        with pytest.raises(ValueError):
+            recognizers_of({"recognizer_registry": {"recognizers": [bad]}})

@@ -28,10 +28,10 @@ def test_field_steps_and_counts(spark):
 
 
 def test_skip_keeps_original_and_fail_raises(spark):
-    rows, schema = [("Alice", None), ("Bob", "x"), ("Charlie", None)], "name string, status string"
-    steps = [{"type": "set_field", "field": "name", "value": "N"}, {"type": "add_field", "field": "status", "value": "active"}]
+    rows, schema = [("oak", 3), ("elm", None), ("fir", None)], "tree string, height int"
+    steps = [{"type": "set_field", "field": "tree", "value": "T"}, {"type": "add_field", "field": "height", "value": 9}]
     out, stats = run(spark, rows, schema, steps)
-    assert sorted((r["name"], r["status"]) for r in out) == [("Bob", "x"), ("N", "active"), ("N", "active")]
+    assert sorted((r["tree"], r["height"]) for r in out) == [("T", 9), ("T", 9), ("oak", 3)]
     assert (stats["documents_processed"], stats["documents_failed"]) == (2, 1)
     with pytest.raises(Exception, match="a transform failed"):
         run(spark, rows, schema, steps, "fail")
@@ -77,3 +77,31 @@ def test_wrong_steps_fail_at_plan_time(spark):
 def test_parent_that_is_no_document_fails_the_row(spark):
     out, stats = run(spark, [("x",), (None,)], "a string", [{"type": "set_field", "field": "a.b", "value": 1}])
     assert [r["a"] for r in out] == ["x", None] and stats["documents_failed"] == 1
+
+
+def test_fail_mode_raises_whatever_is_read(spark):
+    df = spark.createDataFrame([("oak", 3, 1)], "tree string, height int, other int")
+    out = Pipeline([{"type": "add_field", "field": "height", "value": 9}], "fail").apply(df).df
+    for read in (lambda: out.select("other").collect(), out.count, lambda: out.select("tree").collect()):
+        with pytest.raises(Exception, match="a transform failed"):
+            read()
+
+
+def test_nothing_passes_in_the_clear(spark):
+    row = Row(user=Row(name="Ann", ids=[1, None], deep=Row(mail="ann@example.com")), tags={"a": "x", "b": None}, list=[{"k": Row(v="secret")}])
+    steps = [{"type": "anonymize", "field": f, "operator": "redact"} for f in ("user", "tags.a", "list.k.v")]
+    out, stats = run(spark, [row], None, steps)
+    assert out == [{"user": {"name": "", "ids": ["", None], "deep": {"mail": ""}}, "tags": {"a": "", "b": None}, "list": [{"k": {"v": ""}}]}]
+    assert stats["transforms_applied"] == 3
+    for field in ("user.emial", "usr", "list.*.nothing", "user.name.first"):
+        with pytest.raises(ValueError, match="no field"):
+            Pipeline([{"type": "anonymize", "field": field, "operator": "redact"}]).apply(spark.createDataFrame([row]))
+
+
+def test_made_up_values_need_the_salt_to_be_found(spark):
+    df = spark.createDataFrame([("123-45-6789", "123-45-6789")], "a string, b string")
+    steps = [{"type": "anonymize", "field": f, "operator": "fake_ssn"} for f in "ab"]
+    first, second = (Pipeline(steps).apply(df).df.first() for _ in range(2))
+    assert first.a == first.b and first.a != second.a
+    fixed = [Pipeline([{**s, "params": {"salt": "s"}} for s in steps]).apply(df).df.first() for _ in range(2)]
+    assert fixed[0] == fixed[1]
