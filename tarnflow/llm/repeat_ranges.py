@@ -15,7 +15,8 @@ later offsets:
   names the window's bucket (equal windows have equal ones). Consecutive
   windows of one bucket form a run of at most ``LATER`` + 1 windows, so one entry
   in about 73 bytes goes to the shuffle, and one in 145 where a text repeats
-  itself. A bucket with one entry is final: none of its windows repeats.
+  itself. A bucket with one entry is final, unless the entry's run has its gram
+  twice: none of its windows repeats.
 * *Last refinement.* A window equals (identifier at its start, identifier at the
   later offset ``WINDOW - GRAM``). A run's identifier is refined from the
   identifiers at its start, at the later offset, and at the later offset of its
@@ -75,25 +76,38 @@ def identifiers(raw: bytes) -> np.ndarray:
     return ids
 
 
-def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, first and last window start of each run."""
-    n = len(ids) - LATER
-    span = LATER + 1
-    # least value of each stretch of ``span``: running minima from both ends of blocks
-    blocks = -(-len(ids) // span)
-    grid = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
-    grid[: len(ids)] = ids
+def sliding(values: np.ndarray, out: int, least: bool) -> np.ndarray:
+    """Least (or greatest) value of each of the first ``out`` stretches of LATER + 1 values, by running extremes from both ends of blocks."""
+    span, pick = LATER + 1, np.minimum if least else np.maximum
+    blocks = -(-(out + LATER) // span)
+    grid = np.full(blocks * span, np.iinfo(np.uint64).max if least else 0, np.uint64)
+    grid[: len(values)] = values
     grid = grid.reshape(blocks, span)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:n], ahead[LATER : LATER + n])
+    ahead = pick.accumulate(grid, axis=1).ravel()
+    behind = pick.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(behind[:out], ahead[LATER : LATER + out])
+
+
+def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, first and last window start of each run, and whether the run may hold equal windows."""
+    n, span = len(ids) - LATER, LATER + 1
+    least = sliding(ids, n, True)
     begin = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
     length = np.diff(np.append(begin, n))
     pieces = -(-length // span)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = np.repeat(begin, pieces) + nth * span
     last = np.append(first[1:], n) - 1
-    return least[first], first, last
+    # Equal windows of one run have the run's gram at two places. An offset's gram names some
+    # window's bucket if it is the greatest of the least values of the windows that cover it.
+    padded = np.concatenate([np.zeros(LATER, np.uint64), least, np.zeros(LATER, np.uint64)])
+    at = np.flatnonzero(ids == sliding(padded, len(ids), False))
+    names = np.unique(least[first])
+    place = lambda value, offset: np.searchsorted(names, value) * (len(ids) + 1) + offset
+    places = np.sort(place(ids[at], at))
+    bucket = least[first]
+    times = np.searchsorted(places, place(bucket, last + LATER), "right") - np.searchsorted(places, place(bucket, first), "left")
+    return bucket, first, last, times > 1
 
 
 def run_ids(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +127,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """k1, k2, first, last, bucket, one, two: the corpus as entries of initial buckets."""
-    names = ["k1", "k2", "first", "last", "bucket", "one", "two"]
+    """k1, k2, first, last, bucket, one, two, loops: the corpus as entries of buckets."""
+    names = ["k1", "k2", "first", "last", "bucket", "one", "two", "loops"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,14 +138,14 @@ def entries(rows: DataFrame) -> DataFrame:
                 if len(raw) < WINDOW:
                     continue
                 ids = identifiers(raw)
-                bucket, first, last = runs(ids)
+                bucket, first, last, loops = runs(ids)
                 one, two = run_ids(ids, first, last)
-                for o, v in zip(out, (np.full(len(first), k1), np.full(len(first), k2), first.astype(np.int32), last.astype(np.int32), bucket.view(np.int64), one, two), strict=True):
+                for o, v in zip(out, (np.full(len(first), k1), np.full(len(first), k2), first.astype(np.int32), last.astype(np.int32), bucket.view(np.int64), one, two, loops), strict=True):
                     o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
 
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, first int, last int, bucket bigint, one bigint, two bigint")
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, first int, last int, bucket bigint, one bigint, two bigint, loops boolean")
 
 
 def refine(rows: DataFrame, open_runs: DataFrame) -> DataFrame:
@@ -170,15 +184,16 @@ def repeated_ranges(temp: Scratch, docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     all_ = temp.write(entries(rows), "entries")
     run = ["bucket", "one", "two"]
-    shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("loops").alias("loops")).where("n > 1 or loops").select("bucket")
     live = temp.write(all_.join(shared, "bucket", "left_semi"), "live-entries")
     temp.release(all_)
-    classes = live.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("least"))
+    classes = live.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("least"), F.max("loops").alias("loops"))
     classes = temp.write(classes, "run-classes")
     whole = live.join(classes.where("n > 1").select(*run), run, "left_semi")
     whole = whole.select("k1", "k2", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end")).distinct()
     # a bucket with several runs of which one is alone: that one is open, the others it may meet go along
-    mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("fewest")).where("runs > 1 and fewest = 1").select("bucket")
+    of_bucket = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("fewest"), F.max(F.col("loops") & (F.col("n") == 1)).alias("loops"))
+    mixed = of_bucket.where("runs > 1 and fewest = 1 or loops").select("bucket")
     open_runs = classes.join(mixed, "bucket", "left_semi").select("least.k1", "least.k2", "least.first", "least.last", (F.col("n") == 1).alias("need"))
     windows = temp.write(refine(rows, temp.write(open_runs, "open-runs")), "windows")
     again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
