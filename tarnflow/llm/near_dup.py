@@ -44,7 +44,7 @@ from tarnflow.llm._scratch import Scratch, bound_batches, materialize
 
 BINS, ROWS = 384, 6
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: A hub yields to a better one with which it shares at least this many buckets; so many times the hops double.
 NEAR_BUCKETS, HOP_DOUBLINGS = 4, 2
 #: A centre's set goes to this many tasks at most, so that a large group is not one task.
@@ -200,7 +200,9 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     sets = rows.select("text", *IdFilter.hashes("id")).mapInArrow(run, "s1 bigint, s2 bigint, shingles binary")
-    return sets.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles")).join(nodes, ["s1", "s2"]).select("node", "shingles")
+    # the join sorts by the keys that the aggregation groups by, so that repeated rows cost no sort of their own
+    met = sets.join(nodes.select("node", "s1", "s2"), ["s1", "s2"])
+    return met.groupBy("s1", "s2").agg(F.first("node").alias("node"), F.first("shingles").alias("shingles")).select("node", "shingles")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

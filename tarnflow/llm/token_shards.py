@@ -35,7 +35,7 @@ from tarnflow.llm._scratch import bound_batches
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 #: Entries of each worker's cache; beyond it the cache starts anew, which costs time only.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 SHARD_SCHEMA = "doc_id bigint, shard int, rel_start bigint, n_tokens bigint, ids array<int>"
 

@@ -41,7 +41,7 @@ FEATURE_BITS = 22
 #: A feature enters if its two shares differ by this many standard errors, on this many rows.
 LEAST_Z, LEAST_ROWS, MOST_FEATURES = 5.0, 6, 600
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: Letters, any other letter, and the border of a word.
 SYMBOLS = 28
