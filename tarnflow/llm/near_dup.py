@@ -44,7 +44,7 @@ from tarnflow.llm._scratch import Scratch, bound_batches, materialize
 
 BINS, ROWS = 384, 6
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: A hub yields to a better one with which it shares at least this many buckets; so many times the hops double.
 NEAR_BUCKETS, HOP_DOUBLINGS = 4, 2
 #: A centre's set goes to this many tasks at most, so that a large group is not one task.

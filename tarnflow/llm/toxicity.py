@@ -41,7 +41,7 @@ FEATURE_BITS = 22
 #: A feature enters if its two shares differ by this many standard errors, on this many rows.
 LEAST_Z, LEAST_ROWS, MOST_FEATURES = 5.0, 6, 600
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 
 #: Letters, any other letter, and the border of a word.
 SYMBOLS = 28
@@ -109,20 +109,38 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 20 * p2) / (three.sum(axis=2, keepdims=True) + 20))
 
 
+class Memory:
+    """Values by key: at most twice CACHE_WORDS of them, of which those in use survive."""
+
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Decoder:
     """Viterbi over the lattice of one token; results are remembered."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model.tolist(), {}
+        self.model, self.known = model.tolist(), Memory()
 
     def __call__(self, token: str) -> str:
         out = self.known.get(token)
         if out is None:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
             out = self._best(_STRETCH.sub(r"\1\1\1", token.lower()))
             if len(token) <= LONGEST_KNOWN:
-                self.known[token] = out
+                self.known.put(token, out)
         return out
 
     def _plain(self, token: str) -> float:
@@ -176,7 +194,7 @@ class Restorer:
     """Words of a text after deobfuscation; ``text`` joins them again."""
 
     def __init__(self, model: np.ndarray):
-        self.decode, self.known = Decoder(model), {}
+        self.decode, self.known = Decoder(model), Memory()
 
     def word(self, token: str) -> str:
         signs = token.strip(".,;:?\"'")
@@ -203,12 +221,11 @@ class Restorer:
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words."""
         known, out = self.known, set()
-        if len(known) > CACHE_WORDS:
-            known.clear()
         for token in set(self._spaced(text or "").split()):
             w = known.get(token)
             if w is None:
-                w = known[token] = self.word(token)
+                w = self.word(token)
+                known.put(token, w)
             out.add(w)
         out.discard("")
         return out
@@ -294,16 +311,15 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: in
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.restore, self.known = model, Restorer(model.lm), {}
+        self.model, self.restore, self.known = model, Restorer(model.lm), Memory()
 
     def __call__(self, text: str | None) -> float:
         known, weights, found = self.known, self.model.weights, set()
-        if len(known) > CACHE_WORDS:
-            known.clear()
         for w in self.restore.words(text):
             hits = known.get(w)
             if hits is None:
-                hits = known[w] = tuple(f for f in features(w) if f in weights)
+                hits = tuple(f for f in features(w) if f in weights)
+                known.put(w, hits)
             if hits:
                 found.update(hits)
         z = self.model.intercept + sum(weights[f] for f in found)
