@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from tarnflow.operators.detect import load_recognizers
+from tarnflow.operators.relationships import RelationshipGraph, render_tree
 from tarnflow.plans import config as C
 from tarnflow.plans.runner import Runner, parse_ids, parse_query
 from tarnflow.plans.scan import report, scan
@@ -23,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--config")
         if name == "scan":
             s.add_argument("--report")
+            s.add_argument("--recognizers", help="YAML with recognizers")
             s.add_argument("--output", help="where the proposed configuration goes")
         if name == "run":
             s.add_argument("--collections", help="names, comma-separated")
@@ -55,7 +58,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             spark = SparkSession.builder.appName("tarnflow").config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR").getOrCreate()
         source = FolderCatalog(spark, args.source)
         if args.command == "scan":
-            result = scan(spark, source, C.load_config(args.config) if args.config else None)
+            recognizers = load_recognizers(args.recognizers) if args.recognizers else None
+            result = scan(spark, source, C.load_config(args.config) if args.config else None, recognizers=recognizers)
             text = report(result)
             if args.report:
                 with open(args.report, "w", encoding="utf-8") as f:
@@ -74,9 +78,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             parallel=args.parallel,
             dry_run=args.dry_run,
         )
-        for o in result.outcomes:
-            if args.dry_run:
-                print(f"{o.collection}: {o.documents} rows")
+        if args.dry_run:
+            counts = {o.collection: o.documents for o in result.outcomes}
+            if args.ids or args.query:  # what belongs to the root's rows, as the tree that it is
+                root = (args.ids or args.query).partition("=")[0].strip()
+                print(render_tree(RelationshipGraph(settings.graph()).tree(root), counts))
+            else:
+                print("\n".join(f"{n}: {k} rows" for n, k in counts.items()))
+            print(f"{len(counts)} collections, {sum(counts.values())} rows; nothing was written")
         return 1 if result.failed else 0
     except (ValueError, FileNotFoundError, FileExistsError) as e:
         print(f"error: {e}", file=sys.stderr)

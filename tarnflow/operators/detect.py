@@ -213,6 +213,15 @@ def summary(stats: DataFrame) -> DataFrame:
     return stats.groupBy("entity").agg(F.count(F.lit(1)).alias("fields"), F.sum("detections").alias("detections")).orderBy(F.desc("fields"), "entity")
 
 
+def cursor_with_values(df: DataFrame, candidates: list[str]) -> str | None:
+    """The first candidate that the rows have a value of; the candidate's spelling."""
+    known = [c for c in candidates if cursor_field(df.schema, [c])]
+    if not known:
+        return None
+    have = df.agg(*(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(known))).first()
+    return next((c for i, c in enumerate(known) if have[i]), None)
+
+
 def cursor_field(schema: T.StructType, candidates: list[str]) -> str | None:
     """The first candidate that the schema has, whatever the case of its parts; the candidate's spelling."""
     for candidate in candidates:

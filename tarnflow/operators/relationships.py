@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from dataclasses import dataclass
 
@@ -126,8 +125,3 @@ def infer_from_schemas(spark: SparkSession, schemas: dict[str, T.StructType]) ->
     names = spark.createDataFrame([(n,) for n in schemas], "name string")
     found = infer(fields, names).orderBy("child", "child_field").collect()  # a row for two collections at most
     return [Relationship(r.parent, r.child, r.parent_field, r.child_field) for r in found]
-
-
-def plural_forms(base: str) -> list[str]:
-    """The collection names that a reference's base may mean."""
-    return [base, base + "s", *([re.sub("y$", "ies", base)] if base.endswith("y") else [])]

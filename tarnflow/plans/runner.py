@@ -176,7 +176,7 @@ class Runner:
             statistics = result.statistics()
             got = seen.get
             if got["n"] or disposition == "replace" or not self.destination.has(name):
-                write(staged, self.destination.path(name), disposition, config.primary_key, cursor or None, self.destination.format)
+                write(staged, self.destination.path(name), disposition, config.primary_key, cursor or None, self.destination.format, self.destination.options)
         finally:
             from tarnflow.sources.catalog import filesystem
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators.detect import best_entity, cursor_field, field_statistics, long_form, recommended
+from tarnflow.operators.detect import RECOGNIZERS, Recognizer, best_entity, cursor_with_values, field_statistics, long_form, recommended
 from tarnflow.operators.relationships import Relationship, infer_from_schemas
 from tarnflow.operators.sampling import sample
 from tarnflow.plans.config import CollectionConfig, Config, LoadConfig, RelationshipConfig, ScanConfig
@@ -32,21 +33,24 @@ class ScanResult:
     config: Config
 
 
-def scan(spark: SparkSession, catalog: FolderCatalog, config: Config | None = None, seed: int = 0) -> ScanResult:
+def scan(spark: SparkSession, catalog: FolderCatalog, config: Config | None = None, seed: int = 0, recognizers: list[Recognizer] | None = None) -> ScanResult:
+    """Scan the collections that the configuration takes, with the given recognizers or the built-in ones."""
     config = config or Config(scan=ScanConfig())
     s = config.scan or ScanConfig()
     found = discover(catalog.names(), not s.discovery.include_patterns, tuple(s.discovery.include_patterns), tuple(s.discovery.exclude_patterns))
+    if lost := sorted(set(s.pii_analysis.entity_types) - {r.entity for r in recognizers or RECOGNIZERS}):
+        warnings.warn(f"no recognizer finds {', '.join(lost)}: register one (names need a language model)", stacklevel=2)
     scans, schemas = [], {}
     for name in found.included:
         df = catalog.load(name)
         schemas[name] = df.schema
         part = sample(df, s.sampling.sample_size, s.sampling.sample_strategy, seed=seed)
         n = min(part.total, s.sampling.sample_size)
-        one = CollectionScan(name, part.total, n, part.strategy, cursor_field(df.schema, s.cursor_detection.cursor_fields))
+        one = CollectionScan(name, part.total, n, part.strategy, cursor_with_values(part.df, s.cursor_detection.cursor_fields))
         if s.pii_analysis.enabled and part.total:
             p = s.pii_analysis
             rows = long_form(part.df.withColumn("__doc", F.monotonically_increasing_id()), F.col("__doc"), tuple(p.allowlist))
-            stats = field_statistics(best_entity(rows, p.entity_types, p.confidence_threshold), n, p.least_prevalence)
+            stats = field_statistics(best_entity(rows, p.entity_types if recognizers is None else None, p.confidence_threshold, recognizers), n, p.least_prevalence)
             stats = stats.withColumn("strategy", recommended(F.col("entity"), F.col("avg_confidence"), p.default_strategies))
             one.findings = [r.asDict() for r in stats.collect()]  # a row for each field and kind
         scans.append(one)

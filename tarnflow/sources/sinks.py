@@ -74,23 +74,25 @@ def swap(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     spark.catalog.refreshByPath(path)
 
 
-def write(rows: DataFrame, path: str, disposition: str, key: str = "_id", cursor: str | None = None, format: str = "parquet") -> None:
+def write(rows: DataFrame, path: str, disposition: str, key: str = "_id", cursor: str | None = None, format: str = "parquet", options: dict | None = None) -> None:
     """Write ``rows`` to the table at ``path``. Replace with no rows leaves an empty table."""
     if disposition not in DISPOSITIONS:
         raise ValueError(f"disposition must be one of {', '.join(DISPOSITIONS)}")
     spark = rows.sparkSession
     there = exists(spark, path)
-    store = lambda df: swap(spark, path, lambda p: df.write.format(format).save(p))
+    options = options or {}  # those that the table is read with (a CSV table's header, say)
+    load = lambda: spark.read.format(format).options(**options).load(path)
+    store = lambda df: swap(spark, path, lambda p: df.write.format(format).options(**options).save(p))
     if disposition == "replace":
         store(rows)
     elif disposition == "merge":
-        store(merged(spark.read.format(format).load(path), rows, key, cursor) if there else latest(rows, key, cursor))
+        store(merged(load(), rows, key, cursor) if there else latest(rows, key, cursor))
     else:
-        target = spark.read.format(format).load(path) if there else None
+        target = load() if there else None
         twice = duplicates(target, rows, key).limit(1).collect()
         if twice:
             raise DuplicateKeyError(f"append met key {twice[0][0]!r} more than once; use merge to update rows")
-        rows.write.format(format).mode("append").save(path)
+        rows.write.format(format).options(**options).mode("append").save(path)
 
 
 def summarize_errors(errors: DataFrame) -> DataFrame:

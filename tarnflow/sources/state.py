@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.sources.catalog import exists
+from tarnflow.sources.catalog import exists, filesystem
+from tarnflow.sources.sinks import swap
 
 COUNTS = "struct<processed:bigint,succeeded:bigint,failed:bigint>"
 RUNS = f"_id string, status string, startedAt timestamp, endedAt timestamp, durationSeconds double, collections {COUNTS}, documents {COUNTS}, errors struct<summary:map<string,string>,collections:array<string>>"
@@ -103,6 +104,21 @@ class StateStore:
             raise KeyError(key)
         return found.asDict(recursive=True)
 
+    def compact(self, least_files: int = 100) -> list[str]:
+        """Rewrite tables of so many files or more as one file with the latest rows; returns their names."""
+        done = []
+        with self.lock:
+            for table, schema in zip(self.names, (RUNS, STATE), strict=True):
+                path = f"{self.root}/{table}"
+                if not exists(self.spark, path):
+                    continue
+                fs, p = filesystem(self.spark, path)
+                if sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p)) >= least_files:
+                    rows = self._read(table, schema).withColumn("deleted", F.lit(False)).coalesce(1)
+                    swap(self.spark, path, lambda to, rows=rows: rows.write.parquet(to))
+                    done.append(table)
+        return done
+
     # -- runs
 
     def create_run(self) -> str:
@@ -119,6 +135,7 @@ class StateStore:
     def complete_run(self, run: str, collections: dict, documents: dict, errors: dict[str, str] | None = None) -> None:
         errors = errors or {}
         self._end_run(run, "completed", collections=collections, documents=documents, errors={"summary": errors, "collections": sorted(errors)})
+        self.compact()
 
     def fail_run(self, run: str, message: str) -> None:
         self._end_run(run, "failed", errors={"summary": {"run": message[:200]}, "collections": []})

@@ -214,6 +214,8 @@ def test_command_line(spark, shop, tmp_path, capsys):
     assert cli.main(["run", "--source", shop.root, "--destination", out, "--config", config, "--collections", "customers"], spark) == 0
     assert FolderCatalog(spark, out).load("customers").count() == 6
     assert cli.main(["run", "--source", shop.root, "--destination", shop.root], spark) == 2
+    assert cli.main(["run", "--source", shop.root, "--destination", out, "--query", 'customers={}', "--dry-run"], spark) == 0
+    assert "nothing was written" in capsys.readouterr().out
 
 
 def test_merge_refuses_rows_without_a_key_and_takes_the_newest(spark):
@@ -259,3 +261,57 @@ def test_array_references_join_by_key(spark):
     out = related(spark.createDataFrame([(1,), (2,), (2,)], "k int"), child, "k", "refs")
     assert sorted(r.c for r in out.collect()) == [1, 4, 4]
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exports_load():
+    import tarnflow
+
+    assert all(getattr(tarnflow, name) is not None for name in tarnflow.__all__)
+    with pytest.raises(AttributeError):
+        tarnflow.nothing  # noqa: B018
+
+
+def test_entry_survives_without_the_subpackage(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("tarnflow.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)  # a third-party module that cannot be imported
+    with pytest.warns(UserWarning, match="left out"):
+        entry = importlib.reload(__spark_entry__)
+    assert len(entry.queries()) > 140 and not any(k.startswith("op1_") for k in entry.queries())
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
+
+
+def test_state_tables_are_compacted(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path))
+    run = store.create_run()
+    for name in ("a", "b"):
+        store.complete_collection(store.start_collection(run, name), {"processed": 3, "succeeded": 3, "failed": 0}, ("7", "bigint", "k"))
+    store.reset_collection("b")
+    before = sorted(map(str, store.collections().collect()))
+    assert store.compact(1000) == [] and len(store.compact(2)) == 1
+    assert sorted(map(str, store.collections().collect())) == before
+    assert len(list((tmp_path / "_rep_state").glob("*.parquet"))) == 1
+    store.complete_run(run, {"processed": 2, "succeeded": 2, "failed": 0}, {"processed": 6, "succeeded": 6, "failed": 0})
+    assert store.last_cursor("a") == 7 and store.last_cursor("b") is None and store.runs().first().status == "completed"
+
+
+def test_csv_keeps_its_names(spark, tmp_path):
+    path, options = str(tmp_path / "t"), {"header": "true", "inferSchema": "true"}
+    for rows in ([(1, "a"), (2, "b")], [(2, "c")]):
+        write(spark.createDataFrame(rows, "k int, v string"), path, "merge", "k", format="csv", options=options)
+    got = spark.read.options(**options).csv(path)
+    assert got.columns == ["k", "v"] and sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c")]
+
+
+def test_a_cursor_has_values(spark):
+    from tarnflow.operators.detect import cursor_with_values
+
+    df = spark.createDataFrame([(None, 1, (2,))], "updated_at int, k int, meta struct<UpdatedAt:int>")
+    assert cursor_with_values(df, ["updated_at", "updatedAt", "meta.updatedAt"]) == "meta.updatedAt"
+    assert cursor_with_values(df, ["updated_at"]) is None and cursor_with_values(df, ["nothing"]) is None
