@@ -35,14 +35,14 @@ from tarnflow.llm._scratch import bound_batches
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 #: Entries of each worker's cache; beyond it the cache starts anew, which costs time only.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 500_000
 
 SHARD_SCHEMA = "doc_id bigint, shard int, rel_start bigint, n_tokens bigint, ids array<int>"
 
 #: Characters for which every engine agrees on letter, digit and space classes.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸»¿-ɏ]*\Z")
 #: Bytes of text whose chunks are hashed together.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
 
