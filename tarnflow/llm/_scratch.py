@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python stay under this many bytes, whatever the length of single texts.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
