@@ -34,13 +34,16 @@ from tarnflow.llm._scratch import bound_batches
 
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
-#: Entries of each worker's cache; beyond it the cache starts anew, which costs time only.
+#: Entries of each worker's cache (about 60 bytes each); beyond it the cache starts anew, which costs time only.
 CACHE_ENTRIES = 500_000
 
 SHARD_SCHEMA = "doc_id bigint, shard int, rel_start bigint, n_tokens bigint, ids array<int>"
 
 #: Characters for which every engine agrees on letter, digit and space classes.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸»¿-ɏ]*\Z")
+#: The pattern under which letters end at ASCII signs, and the kinds of bytes: white space, letter, other ASCII, beyond.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_KIND = np.array([0 if c == 32 or 9 <= c <= 13 else 1 if chr(c).isalpha() and c < 128 else 2 if c < 128 else 3 for c in range(256)], np.uint8)
 #: Bytes of text whose chunks are hashed together.
 BLOCK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -60,6 +63,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return p
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` items."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
+
+
 def odd_spaces(b: np.ndarray) -> np.ndarray:
     """Offsets of white space beyond ASCII's, and of controls that only some engines take for it."""
     at = np.flatnonzero(((b >= 0x1C) & (b <= 0x1F)) | (b == 0xC2) | ((b >= 0xE1) & (b <= 0xE3)))
@@ -75,13 +83,15 @@ class PieceEncoder:
 
     A pre-token never has white space after a visible character, so a text's
     ids are the ids of its chunks (white space and the visible characters after
-    it) in order. The chunks of a block of texts are found and hashed on the
-    bytes at once; each distinct one is looked up by its bytes, or goes through
-    the tokenizer, once a block. Hashes only gather equal chunks of a block: the
-    bytes of all are compared, and texts with a chunk that differs from its
-    hash's first go to the tokenizer whole, as texts with rare white space or
-    special tokens do. A full cache takes nothing new and starts anew when it
-    stops matching the texts; both cost time only.
+    it) in order; with the usual pattern an ASCII letter's run also ends at the
+    next ASCII sign, so that most chunks are words. The chunks of a block of
+    texts are found, hashed and looked up on the bytes at once, in arrays (a
+    table of slots, and the bytes and ids of each slot); only distinct new ones
+    go through the tokenizer. Hashes only gather equal chunks: the bytes of all
+    are compared with their slot's, and texts with a chunk that differs go to
+    the tokenizer whole, as texts with rare white space or special tokens do. A
+    full cache takes nothing new and starts anew when it stops matching the
+    texts; both cost time only.
     """
 
     def __init__(self, tokenizer_json: str, pattern: str, special_as_text: bool = False, capacity: int = CACHE_ENTRIES):
@@ -94,18 +104,23 @@ class PieceEncoder:
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = [t.content.encode() for t in added]
         self.words = regex.compile(pattern)
+        self.letters_end = pattern == _USUAL
+        #: Whether a token begins with the byte-level letter of a space.
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.capacity = capacity
         self.value = _mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
         self.up = self.down = np.ones(1, np.uint64)
-        self.tokens: dict[str, bytes] = {}
+        self.shift = np.uint64(64 - (2 * capacity + 1).bit_length())
         self._reset()
 
     def _reset(self) -> None:
-        self.tokens.clear()
-        self.slots: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
-        self.filled = self.used = 0
+        self.table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.keys = np.zeros(1 << 12, np.uint64)
+        #: Where a slot's bytes and ids begin; they end where the next slot's begin.
+        self.byte_at, self.id_at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.bytes, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int32)
+        self.used, self.missed = 0, 0.0
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the count of each; the texts are UTF-8 at ``offsets``."""
@@ -122,30 +137,26 @@ class PieceEncoder:
         texts, size = len(offsets) - 1, len(b)
         if not size:
             return np.empty(0, np.int32), np.zeros(texts, np.int64)
-        if size > len(self.up):
-            self.up, self.down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
-        space = (b == 32) | ((b >= 9) & (b <= 13))
-        begins = space.copy()
-        begins[1:] &= ~space[:-1]
-        begins[offsets[:-1][np.diff(offsets) > 0]] = True
-        first = np.flatnonzero(begins)
+        first = self._chunks(offsets, b)
         last = np.append(first[1:], size)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.value[b] * self.up[:size], out=sums[1:])
-        key = _mixed((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64) * _M2)
-        _, at, where = np.unique(key, return_index=True, return_inverse=True)
+        length = last - first
+        key = self._hashes(b, first, last)
         raw = b.tobytes()
-        slot = self._slots(first[at], last[at], raw)
-        n = self.length[slot][where].astype(np.int64)
+        slot = self._slots(key, first, last, raw)
+        begin = self.id_at[slot]
+        n = self.id_at[slot + 1] - begin
         ends = np.cumsum(n)
-        flat = self.pool[np.repeat(self.start[slot][where] - ends + n, n) + np.arange(ends[-1])]
+        flat = self.ids[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
         before = np.append(0, ends)[np.searchsorted(first, offsets)]
         counts = np.diff(before)
-        self._forget()
-        size_of = last - first
-        other = np.minimum(np.arange(size, dtype=np.int32) + np.repeat((first[at][where] - first).astype(np.int32), size_of), size - 1)
-        unlike = np.concatenate([np.flatnonzero(b[other] != b), first[size_of != size_of[at][where]], self._added_at(raw)])
-        odd = np.unique(np.searchsorted(offsets, np.concatenate([odd_spaces(b), unlike]), "right") - 1)
+        begin = self.byte_at[slot]
+        unlike = [first[self.byte_at[slot + 1] - begin != length], self._added_at(raw)]
+        other = np.repeat(begin - first, length)
+        other += np.arange(size)
+        unlike.append(np.flatnonzero(self.bytes.take(other, mode="clip") != b))
+        if self.used >= self.capacity and self.missed > 0.3:
+            self._reset()
+        odd = np.unique(np.searchsorted(offsets, np.concatenate([odd_spaces(b), *unlike]), "right") - 1)
         if len(odd):
             whole = self.tokenizer.encode_batch_fast([raw[offsets[t] : offsets[t + 1]].decode() for t in odd], add_special_tokens=False)
             parts = np.split(flat, before[1:-1])
@@ -155,6 +166,25 @@ class PieceEncoder:
             flat = np.concatenate(parts)
         return flat, counts
 
+    def _chunks(self, offsets: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where chunks begin."""
+        kind = _KIND[b]
+        space = kind == 0
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        if self.letters_end:
+            begins[1:] |= (kind[:-1] == 1) & (kind[1:] == 2)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begins)
+
+    def _hashes(self, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        size = len(b)
+        if size > len(self.up):
+            self.up, self.down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(self.value[b] * self.up[:size], out=sums[1:])
+        return _mixed((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64) * _M2)
+
     def _added_at(self, raw: bytes) -> np.ndarray:
         """Offsets of the strings that are tokens as a whole."""
         found = []
@@ -165,49 +195,93 @@ class PieceEncoder:
                 at = raw.find(string, at + 1)
         return np.array(found, np.int64)
 
-    def _slots(self, first: np.ndarray, last: np.ndarray, raw: bytes) -> np.ndarray:
-        chunks = [raw[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-        known = list(map(self.slots.get, chunks))
-        missing = [i for i, s in enumerate(known) if s is None]
-        self.missed = len(missing) / max(1, len(known))
-        if missing:
-            ids = self._ids([chunks[i].decode() for i in missing])
-            n = np.array(list(map(len, ids))) // 4
-            while self.used + len(ids) > len(self.start):
-                self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
-            while self.filled + n.sum() > len(self.pool):
-                self.pool = np.append(self.pool, np.zeros_like(self.pool))
-            new = slice(self.used, self.used + len(ids))
-            self.start[new], self.length[new] = self.filled + np.cumsum(n) - n, n
-            self.pool[self.filled : self.filled + n.sum()] = np.frombuffer(b"".join(ids), np.int32)
-            keep = self.used < self.capacity
-            for s, i in enumerate(missing, self.used):
-                known[i] = s
-            if keep:
-                self.slots.update(zip((chunks[i] for i in missing), range(new.start, new.stop), strict=True))
-                self.used, self.filled = new.stop, int(self.filled + n.sum())
-        return np.array(known, np.int64)
-
-    def _forget(self) -> None:
-        if self.used >= self.capacity and self.missed > 0.6:
-            self._reset()
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        find, plain, known = self.words.findall, _PLAIN.match, self.tokens
+    def _slots(self, key: np.ndarray, first: np.ndarray, last: np.ndarray, raw: bytes) -> np.ndarray:
+        """The slot of each chunk; those that a full cache doesn't take get one for this block."""
+        slot = self._find(key)
+        miss = np.flatnonzero(slot < 0)
+        self.missed = len(miss) / len(key)
+        if len(miss):
+            new, at, where = np.unique(key[miss], return_index=True, return_inverse=True)
+            chunks = [raw[s:e] for s, e in zip(first[miss[at]].tolist(), last[miss[at]].tolist(), strict=True)]
+            order, ids, n = self._ids(chunks)
+            slots = np.empty(len(new), np.int64)
+            slots[order] = np.arange(self.used, self.used + len(new))
+            slot[miss] = slots[where]
+            kept = max(0, min(len(new), self.capacity - self.used))
+            self._append(new[order], b"".join([chunks[i] for i in order]), np.array([len(chunks[i]) for i in order]), ids, n)
+            self._enter(new[order[:kept]])
+        return slot
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each key by linear probing, -1 if there is none."""
+        at = (key >> self.shift).astype(np.int64)
+        slot = self.table[at].astype(np.int64)
+        probe = np.flatnonzero((slot >= 0) & (self.keys[slot] != key))
+        while len(probe):
+            at[probe] = (at[probe] + 1) % len(self.table)
+            slot[probe] = found = self.table[at[probe]]
+            probe = probe[(found >= 0) & (self.keys[found] != key[probe])]
+        return slot
+
+    def _enter(self, key: np.ndarray) -> None:
+        """The next slots get keys, which are distinct and new."""
+        slots, at, left = np.arange(self.used, self.used + len(key)), (key >> self.shift).astype(np.int64), np.arange(len(key))
+        while len(left):
+            free = left[self.table[at[left]] < 0]
+            self.table[at[free]] = slots[free]
+            left = left[self.table[at[left]] != slots[left]]
+            at[left] = (at[left] + 1) % len(self.table)
+        self.used += len(key)
+
+    def _append(self, key: np.ndarray, raw: bytes, lengths: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Keys, bytes and ids behind the slots in use."""
+        a, z = self.used, self.used + len(key)
+        self.keys, self.byte_at, self.id_at = _room(self.keys, z), _room(self.byte_at, z + 1), _room(self.id_at, z + 1)
+        self.keys[a:z] = key
+        self.byte_at[a + 1 : z + 1] = self.byte_at[a] + np.cumsum(lengths)
+        self.id_at[a + 1 : z + 1] = self.id_at[a] + np.cumsum(n)
+        self.bytes, self.ids = _room(self.bytes, self.byte_at[z]), _room(self.ids, self.id_at[z])
+        self.bytes[self.byte_at[a] : self.byte_at[z]] = np.frombuffer(raw, np.uint8)
+        self.ids[self.id_at[a] : self.id_at[z]] = ids
+
+    def _ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the chunks, and in it their ids and the count of each."""
+        plain = _PLAIN.match
+        words = [i for i, p in enumerate(chunks) if p[:1] == b" " and (p[1:].isalpha() or (t := p[1:].decode()).isalpha() and plain(t))] if self.letters_end else []
+        known = set(words)
+        rest = [i for i in range(len(chunks)) if i not in known]
+        ids, counts = [], []
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            joined = b"".join([chunks[k] for k in part])
+            run = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.int32)
+            starts = np.flatnonzero(self.spaced[run])
+            if len(starts) != len(part) or starts[0] or len(self._added_at(joined)):  # not as the pattern says: each by itself
+                found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([chunks[k].decode() for k in part], add_special_tokens=False)]
+                run, n = np.concatenate(found), np.array(list(map(len, found)))
+            else:
+                n = np.diff(np.append(starts, len(run)))
+            ids.append(run)
+            counts.append(n)
+        for i in range(0, len(rest), 20_000):
+            found = self._split([chunks[k].decode() for k in rest[i : i + 20_000]])
+            ids.append(np.frombuffer(b"".join(found), np.int32))
+            counts.append(np.array(list(map(len, found))) // 4)
+        return np.array(words + rest, np.int64), np.concatenate(ids), np.concatenate(counts)
+
+    def _split(self, parts: list[str]) -> list[bytes]:
+        """The ids of any chunks, by their distinct pre-tokens."""
+        find, plain = self.words.findall, _PLAIN.match
         split = [find(p) if plain(p) else None for p in parts]
-        new, fresh = list({w for ws in split if ws for w in ws}.difference(known)), {}
+        new, known = list({w for ws in split if ws for w in ws}), {}
         for i in range(0, len(new), 20_000):
             block = new[i : i + 20_000]
             e = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
             ends = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(block)) * 4).tolist()
             raw = np.array(e.ids, np.int32).tobytes()
-            fresh.update((w, raw[a:b]) for w, a, b in zip(block, [0, *ends], ends, strict=False))
-        if len(known) < self.capacity // 2:
-            known.update(fresh)
-            fresh = known
+            known.update((w, raw[a:b]) for w, a, b in zip(block, [0, *ends], ends, strict=False))
         direct = iter(self.tokenizer.encode_batch_fast([p for p, ws in zip(parts, split, strict=True) if ws is None], add_special_tokens=False))
-        get = known.__getitem__ if fresh is known else lambda w: known.get(w) or fresh[w]
-        return [np.array(next(direct).ids, np.int32).tobytes() if ws is None else b"".join(map(get, ws)) for ws in split]
+        return [np.array(next(direct).ids, np.int32).tobytes() if ws is None else b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 _ENCODERS: dict[tuple[int, str, bool], PieceEncoder] = {}

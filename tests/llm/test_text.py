@@ -4,13 +4,14 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarnflow.llm import chat_format, decontaminate, iso_media, quality, toxicity
-from tarnflow.llm.token_shards import checksums, read_shards, with_global_start, write_shards
+from tarnflow.llm.token_shards import PieceEncoder, checksums, read_shards, with_global_start, write_shards
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -50,6 +51,28 @@ def test_shards_equal_the_tokenizer(spark, edge, edge_rows, tmp_path, special_as
     assert "EqualTo(doc_id,42)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
 
 
+def test_words_are_cached_whatever_sign_follows():
+    """Each word goes through the tokenizer once, and a cache of any size gives the library's ids."""
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    signs = [",", ".", "; ", "!?", "'s", "'tis", "9", "-x", "\n", "\n\n  ", "  ", " 12ab", "\u00a0", "日本", " é", "'", '"(', "\x1c"]
+    texts = ["".join(" " + rng.choice(pool) + rng.choice(signs) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    raw = [t.encode() for t in texts]
+    offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        model = f.read()
+    want = [e.ids for e in Tokenizer.from_str(model).encode_batch(texts, add_special_tokens=False)]
+    for capacity in (1, 50, 10_000):
+        encoder = PieceEncoder(model, public_tokenizers.PATTERN, capacity=capacity)
+        for _ in range(2):
+            flat, counts = encoder.encode(offsets, data)
+            assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
+    plain = "".join(f" {w}{s}" for w in ("alpha", "beta", "gamma") for s in ",.;:!?()").encode()
+    encoder = PieceEncoder(model, public_tokenizers.PATTERN)
+    encoder.encode(np.array([0, len(plain)]), np.frombuffer(plain, np.uint8))
+    assert encoder.used == 3 + 8
+
+
 def test_shards_of_nothing(spark, empty, tmp_path):
     read = shards(spark, empty, str(tmp_path / "s"))
     assert with_global_start(checksums(read), read).count() == 0
