@@ -57,6 +57,8 @@ LEAST_GAIN = 3.0
 LONGEST_KNOWN = 200
 
 _TOKEN = re.compile(r"\S+")
+#: A word of letters and the marks after it: it stays as it is unless letters are doubled.
+_SIMPLE = re.compile(r"""([A-Za-z]+)[.,;:?!)"']*\Z""")
 #: Three or more single letters (or their stand-ins) that one separator, repeated alike, splits.
 _SPACED = re.compile(r"""(?<![^\s("'\[])[A-Za-z0-9@$!|+](([ ._\-*])\2*)(?:[A-Za-z0-9@$!|+]\1)+[A-Za-z0-9@$!|+](?=[.,;:!?)"'\]]*(?!\S))""")
 _REPEAT = re.compile(r"([A-Za-z])\1", re.IGNORECASE)
@@ -129,6 +131,24 @@ class Memory:
         self.new[key] = value
 
 
+class Seen:
+    """A set of at most twice CACHE_WORDS strings, of which those in use survive."""
+
+    def __init__(self):
+        self.new, self.old = set(), set()
+
+    def unseen(self, tokens: set[str]) -> set[str]:
+        rest = tokens - self.new
+        again = rest & self.old
+        self.add(again)
+        return rest - again
+
+    def add(self, tokens: set[str]) -> None:
+        if len(self.new) >= CACHE_WORDS:
+            self.old, self.new = self.new, set()
+        self.new |= tokens
+
+
 class Decoder:
     """Viterbi over the lattice of one token; results are remembered."""
 
@@ -197,6 +217,10 @@ class Restorer:
         self.decode, self.known = Decoder(model), Memory()
 
     def word(self, token: str) -> str:
+        simple = _SIMPLE.match(token)
+        if simple:
+            core = simple[1]
+            return self.decode(core) if _REPEAT.search(core) else core.lower()
         signs = token.strip(".,;:?\"'")
         if _SIGNS.fullmatch(signs) and len(set(signs)) > 1:
             return self.decode(signs)
@@ -218,10 +242,14 @@ class Restorer:
             return text
         return _SPACED.sub(lambda m: self.decode(m[0].replace(m[1], "")), text)
 
+    def tokens(self, text: str | None) -> set[str]:
+        """The distinct tokens, their ASCII letters in lower case, which no word depends on."""
+        return set(self._spaced((text or "").encode().lower().decode()).split())
+
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words."""
         known, out = self.known, set()
-        for token in set(self._spaced(text or "").split()):
+        for token in self.tokens(text):
             w = known.get(token)
             if w is None:
                 w = self.word(token)
@@ -310,19 +338,25 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: in
 
 
 class Scorer:
+    """Scores texts; tokens without any feature of the model, which are nearly all, are remembered as a set."""
+
     def __init__(self, model: Model):
-        self.model, self.restore, self.known = model, Restorer(model.lm), Memory()
+        self.model, self.restore, self.known, self.blank = model, Restorer(model.lm), Memory(), Seen()
 
     def __call__(self, text: str | None) -> float:
-        known, weights, found = self.known, self.model.weights, set()
-        for w in self.restore.words(text):
-            hits = known.get(w)
+        known, weights, found, blank = self.known, self.model.weights, set(), set()
+        for token in self.blank.unseen(self.restore.tokens(text)):
+            hits = known.get(token)
             if hits is None:
-                hits = tuple(f for f in features(w) if f in weights)
-                known.put(w, hits)
-            if hits:
-                found.update(hits)
-        z = self.model.intercept + sum(weights[f] for f in found)
+                word = self.restore.word(token)
+                hits = tuple(f for f in features(word) if f in weights) if word else ()
+                if hits:
+                    known.put(token, hits)
+                else:
+                    blank.add(token)
+            found.update(hits)
+        self.blank.add(blank)
+        z = self.model.intercept + sum(weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 

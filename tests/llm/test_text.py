@@ -393,3 +393,28 @@ def test_leetspeak_reaches_the_decoder():
         assert restore.words(token) == {token}
     assert restore.words("t h i s  i d i o t") == {"this", "idiot"}
     assert len(restore.text("a1" * 50_000)) <= 100_000
+
+
+def test_scorer_restores_a_token_once():
+    """Case and repetition cost nothing, the short ways change no word, and those in use outlive a full memory."""
+    rng = random.Random(5)
+    letters = "aAbBzZéÉİſΣK0413@$!.,'-\"()"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join([*odd, "iddiioott! Worthless, 1D10T. (w0r7hl355) i d i o t. I.D.I.O.T Σας a@B.c http://X.y"])
+    flat = toxicity.log_model(np.ones(toxicity.SYMBOLS**3, np.int64))
+    restore, slow = toxicity.Restorer(flat), toxicity.Restorer(flat)
+    by_hand = set()
+    for token in slow._spaced(text).split():
+        core = toxicity._HEAD.sub("", toxicity._TAIL.sub("", token))
+        simple = core.isascii() and core.isalpha() and not toxicity._REPEAT.search(core)
+        by_hand.add(core.lower() if simple else slow.word(token))
+    assert restore.words(text) == by_hand - {""}
+
+    scorer = toxicity.Scorer(toxicity.Model(flat, dict.fromkeys(toxicity.features("worthless"), 1.0), -2.0))
+    seen, word = [], scorer.restore.word
+    scorer.restore.word = lambda token: seen.append(token) or word(token)
+    assert scorer("Plain PLAIN plain Worthless WORTHLESS") == scorer("worthless") > scorer("plain") == scorer(None)
+    assert sorted(seen) == ["plain", "worthless"]
+    for i in range(3 * toxicity.CACHE_WORDS // 1000):
+        scorer(" ".join(["plain", *(f"w{i}x{k}" for k in range(1000))]))
+    assert seen.count("plain") == 1 and len(scorer.blank.new) + len(scorer.blank.old) < 2 * toxicity.CACHE_WORDS + 2002
