@@ -34,7 +34,7 @@ from tarnflow.llm._scratch import bound_batches
 
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
-#: Entries of each worker's cache (about 60 bytes each); beyond it the cache starts anew, which costs time only.
+#: Entries of each worker's cache (some 60 to 110 bytes each); beyond it the cache starts anew, which costs time only.
 CACHE_ENTRIES = 500_000
 
 SHARD_SCHEMA = "doc_id bigint, shard int, rel_start bigint, n_tokens bigint, ids array<int>"
@@ -45,7 +45,7 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸»¿-ɏ]*\Z")
 _USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _KIND = np.array([0 if c == 32 or 9 <= c <= 13 else 1 if chr(c).isalpha() and c < 128 else 2 if c < 128 else 3 for c in range(256)], np.uint8)
 #: Bytes of text whose chunks are hashed together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -73,6 +74,19 @@ def test_words_are_cached_whatever_sign_follows():
     assert encoder.used == 3 + 8
 
 
+def test_cache_stays_small():
+    """A worker keeps its cache for all stages that follow, so an entry must not take more than its bytes, ids and places."""
+    with open(TOKENIZER, encoding="utf-8") as f:
+        encoder = PieceEncoder(f.read(), public_tokenizers.PATTERN, capacity=20_000)
+    tracemalloc.start()
+    for a in range(0, 19_000, 1000):
+        raw = "".join(f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}xyz" for i in range(a, a + 1000)).encode()
+        encoder.encode(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 20_000 * 150
+
+
 def test_shards_of_nothing(spark, empty, tmp_path):
     read = shards(spark, empty, str(tmp_path / "s"))
     assert with_global_start(checksums(read), read).count() == 0
